@@ -27,6 +27,8 @@ VERSION = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
 DATE = "2020-01-01T00:00:00Z"
 RECORDS_IN_FILE = 1000
+#: Repeated digests up to this many are broadcast (about 100 bytes each); more are joined by shuffle.
+FEW = 100_000
 _LENGTH = re.compile(rb"(?mi)^Content-Length:[ \t]*([0-9]+)[ \t]*\r?$")
 _FIELD = re.compile(rb"(?m)^([!-9;-~]+):[ \t]*(.*?)[ \t]*\r?$")
 
@@ -144,15 +146,20 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = 0, compression: str = "none", records: int = RECORDS_IN_FILE) -> None:
+def write(pages: DataFrame, path: str, least_bytes: int = 0, compression: str = "none", records: int = RECORDS_IN_FILE, scratch: Scratch | None = None) -> None:
     """A record for each row of ``pages(page_id, url, html)``, equal payloads of at least ``least_bytes`` once.
 
-    Only digests are grouped (pre-aggregated, so a payload that a third of all pages share is one row).
+    Only digests are grouped (pre-aggregated, so a payload that a third of all pages share is one row). With a
+    ``scratch``, the repeated digests are written first and, if they are ``FEW`` at most, broadcast.
     """
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("html"))
     rows = rows.withColumn("key", F.sha1("html"))
     firsts = rows.where(F.length("html") >= least_bytes).groupBy(F.col("key").alias("same")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     firsts = firsts.where("n > 1").drop("n")
+    if scratch is not None:
+        firsts = scratch.keep(firsts, "firsts")
+        if firsts.limit(FEW + 1).count() <= FEW:  # at most some 10 MB: payloads stay where they are
+            firsts = F.broadcast(firsts)
     rows = rows.join(firsts, F.col("key") == F.col("same"), "left")
     lines = rows.select("page_id", "url", "html", "first").mapInArrow(_records, "value string")
     lines.write.option("lineSep", END.decode()).option("maxRecordsPerFile", records).option("compression", compression).text(path)
@@ -193,7 +200,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
-    write(pages, at := scratch.path("archives"))
+    write(pages, at := scratch.path("archives"), scratch=scratch)
     out = read(spark, at).where("record_type <> 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     out = scratch.keep(out, "out")
     scratch.clear(out)
