@@ -22,7 +22,7 @@ from trackloom.llm.common import Scratch, n_words
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
-BUCKET = 20_000
+BUCKET = 4_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
