@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 1
         if batch.num_rows == 0:
             continue
         col = batch.column(column)
-        sizes = pa.compute.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(col).fill_null(0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, n in enumerate(sizes):
             if held and held + n > most:

@@ -44,7 +44,9 @@ def dictionaries(labelled: DataFrame, sample: int = SAMPLE, size: int = DICT_BYT
     """
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text").withColumn("mark", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1))
     counts = rows.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
-    rows = rows.join(counts, F.col("lang") == F.col("of")).where(F.col("mark") <= F.least(F.lit(1.0), (2.0 * sample + 100) / F.col("n")) * float(2**63))
+    if (langs := counts.count()) > 10_000:
+        raise ValueError(f"{langs} languages are more than one set of dictionaries can serve")
+    rows = rows.join(F.broadcast(counts), F.col("lang") == F.col("of")).where(F.col("mark") <= F.least(F.lit(1.0), (2.0 * sample + 100) / F.col("n")) * float(2**63))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark", "text"))
     picked = rows.withColumn("rank", rank).where(F.col("rank") <= sample).select("lang", "rank", letters(F.substring("text", 1, size // 25)).alias("text"), "n")
     texts: dict[tuple[int, str], list[bytes]] = {}
