@@ -7,8 +7,8 @@ in 21 classes), which bounds the model: at most 128**3 trigrams a language. Orde
 hold ``MOST_NGRAMS`` n-grams in all, order 3 beyond. A model is sorted hash arrays: n-gram hashes in
 order, with interpolated log-probabilities and back-off weights beside them.
 
-Each text's log-perplexity (nats a character) is held against its language's band, median -/+ ``BAND``
-robust deviations over all documents that pass the base rules; documents outside go.
+Each text's log-perplexity, in nats a character and in nats a word, is held against its language's band,
+median -/+ ``BAND`` robust deviations over all documents that pass the base rules; documents outside either go.
 
 Null text: no words, base_failed. Repeated rows count as often as they are listed and get the same answer.
 Texts of one language only, empty tables and null languages need no special case.
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import Scratch, small_batches
@@ -30,6 +30,11 @@ CLASS_BITS = 7
 MOST_NGRAMS = 6_000_000
 BAND = (6.0, 6.0)
 BIN = 0.005
+#: Words beyond which a text's mean is no steadier; least robust deviations (nats a character, a word).
+STEADY = 1000
+LEAST_SPREAD = (0.05, 0.5)
+#: Languages that one set of models (and a table of bands) may have.
+MOST_LANGUAGES = 2_000
 _WS = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"  # fixed values of the contract
 _NONE = "\x00null"
@@ -182,6 +187,8 @@ def models(grams: DataFrame) -> dict[str, Model]:
     if grams.limit(MOST_NGRAMS + 1).count() > MOST_NGRAMS:
         order = 3
         grams = grams.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << (3 * CLASS_BITS)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
+    if (n := grams.select("lang").distinct().count()) > MOST_LANGUAGES:
+        raise ValueError(f"{n} languages are more than one set of models can serve")
     out = {}
     for (lang,) in sorted(grams.select("lang").distinct().collect()):
         rows = grams.where(F.col("lang") == lang).select("gram", "n").toArrow()
@@ -227,16 +234,16 @@ def base(text: str | None) -> tuple[int, int, int, int, int, bool]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), again, len(words) < 10 or 100 * again > 20 * len(words)
 
 
-SCORED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_perplexity double"
+SCORED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_perplexity double, nats double"
 
 
-def _scorer(shared, kind: str):
+def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in small_batches(batches, "text"):
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
             stats = [base(x) for x in texts]
-            score = np.full(len(texts), np.nan)
+            score, nats = np.full(len(texts), np.nan), np.full(len(texts), np.nan)
             for lang, model in known.items():
                 rows = [k for k, x in enumerate(langs) if (_NONE if x is None else x) == lang and texts[k]]
                 if not rows:
@@ -247,36 +254,48 @@ def _scorer(shared, kind: str):
                 first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
                 n, key = np.diff(np.r_[first, len(key)]), key[first]
                 logp = model.logp(key & ((1 << (CLASS_BITS * model.order)) - 1))
-                score[rows] = -np.bincount(key >> (CLASS_BITS * model.order), logp * n, len(rows)) / lengths
+                nats[rows] = -np.bincount(key >> (CLASS_BITS * model.order), logp * n, len(rows))
+                score[rows] = nats[rows] / lengths
             cols = [pa.array(c, k) for c, k in zip(zip(*stats), [pa.int64()] * 5 + [pa.bool_()])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("lang"), *cols, pa.array(score, from_pandas=True)],
-                names=["id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_perplexity"],
+                [batch.column("id"), batch.column("lang"), *cols, pa.array(score, from_pandas=True), pa.array(nats, from_pandas=True)],
+                names=["id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_perplexity", "nats"],
             )
 
     return run
 
 
-def bands(scored: DataFrame, width: tuple[float, float] = BAND) -> DataFrame:
-    """``of, low, high``: each language's band, from a histogram of log-perplexity with bins of ``BIN``.
+def _middle(rows: DataFrame, name: str) -> DataFrame:
+    """Median of ``x`` by (of, measure), from a histogram with bins of ``BIN``: exact counts, so reruns agree."""
+    hist = rows.groupBy("of", "measure", F.round(F.col("x") / BIN).alias("x")).agg(F.count("*").alias("n"))
+    key = Window.partitionBy("of", "measure")
+    hist = hist.withColumn("upto", F.sum("n").over(key.orderBy("x"))).withColumn("all", F.sum("n").over(key))
+    return hist.where("2 * upto >= all").groupBy("of", "measure").agg((F.min("x") * BIN).alias(name))
 
-    Counts are exact and order-free, so reruns agree. A language has at most some thousand bins.
+
+def bands(scored: DataFrame, scratch: Scratch) -> DataFrame:
+    """``of, measure, median, spread`` of each language: the middle and the robust deviation of both measures.
+
+    A text's mean varies the less the more words it has, so deviations are taken in units of
+    sqrt(1 / words + 1 / STEADY). The table has two rows a language.
     """
-    from pyspark.sql import Window
+    rows = scored.where("not base_failed and nats is not null").select(F.col("lang").alias("of"), "n_words", F.explode(_measures()).alias("measure", "x"))
+    median = scratch.keep(_middle(rows, "median"), "medians")
+    near = median.select(F.col("of").alias("o"), F.col("measure").alias("m"), "median")
+    off = rows.join(F.broadcast(near), F.col("of").eqNullSafe(F.col("o")) & (F.col("measure") == F.col("m")))
+    off = off.select("of", "measure", (F.abs(F.col("x") - F.col("median")) / _unit()).alias("x"))
+    spread = _middle(off, "deviation").select(F.col("of").alias("o"), F.col("measure").alias("m"), "deviation")
+    both = median.join(spread, F.col("of").eqNullSafe(F.col("o")) & (F.col("measure") == F.col("m")))
+    least = F.when(F.col("measure") == "char", F.lit(LEAST_SPREAD[0])).otherwise(F.lit(LEAST_SPREAD[1]))
+    return both.select("of", "measure", "median", F.greatest(1.4826 * F.col("deviation"), least).alias("spread"))
+
 
-    rows = scored.where("not base_failed and log_perplexity is not null").select(F.col("lang").alias("of"), F.round(F.col("log_perplexity") / BIN).alias("x"))
-    hist = rows.groupBy("of", "x").agg(F.count("*").alias("n"))
+def _measures() -> Column:
+    return F.create_map(F.lit("char"), F.col("log_perplexity"), F.lit("word"), F.col("nats") / F.col("n_words"))
 
-    def middle(h: DataFrame, name: str) -> DataFrame:
-        upto = F.sum("n").over(Window.partitionBy("of").orderBy("x"))
-        return h.withColumn("upto", upto).withColumn("all", F.sum("n").over(Window.partitionBy("of"))).where("2 * upto >= all").groupBy("of").agg(F.min("x").alias(name))
 
-    med = middle(hist, "median")
-    off = hist.join(med.withColumnRenamed("of", "o"), F.col("of").eqNullSafe(F.col("o"))).select("of", F.abs(F.col("x") - F.col("median")).alias("x"), "n")
-    dev = middle(off.groupBy("of", "x").agg(F.sum("n").alias("n")), "deviation").withColumnRenamed("of", "o")
-    spread = F.greatest(1.4826 * F.col("deviation"), F.lit(4.0)) * BIN
-    both = med.join(dev, F.col("of").eqNullSafe(F.col("o")))
-    return both.select("of", (F.col("median") * BIN - width[0] * spread).alias("low"), (F.col("median") * BIN + width[1] * spread).alias("high"))
+def _unit() -> Column:
+    return F.sqrt(1.0 / F.col("n_words") + 1.0 / STEADY)
 
 
 def assess(docs: DataFrame, width: tuple[float, float] = BAND) -> DataFrame:
@@ -286,11 +305,17 @@ def assess(docs: DataFrame, width: tuple[float, float] = BAND) -> DataFrame:
     grams = scratch.keep(ngrams(docs), "grams")
     shared = spark.sparkContext.broadcast(models(grams))
     kind = docs.schema["id"].dataType.simpleString()
-    scored = scratch.keep(docs.select("id", "lang", "text").mapInArrow(_scorer(shared, kind), f"id {kind}, lang string, {SCORED}"), "scored")
-    limits = scratch.keep(bands(scored, width), "bands")
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
-    out = scored.join(limits, F.col("lang").eqNullSafe(F.col("of")), "left").withColumn("kept", ~F.col("base_failed") & inside)
-    out = scratch.keep(out.drop("lang", "of", "low", "high"), "out")
+    scored = scratch.keep(docs.select("id", "lang", "text").mapInArrow(_scorer(shared), f"id {kind}, lang string, {SCORED}"), "scored")
+    limits = scratch.keep(bands(scored, scratch), "bands")
+    wide = limits.groupBy(F.col("of")).agg(*(F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}") for m in ("char", "word") for c in ("median", "spread")))
+
+    def inside(x: Column, m: str) -> Column:
+        z = (x - F.col(f"{m}_median")) / _unit() / F.col(f"{m}_spread")
+        return F.coalesce(z.between(-width[0], width[1]), F.lit(True))
+
+    rows = scored.join(F.broadcast(wide), F.col("lang").eqNullSafe(F.col("of")), "left")
+    out = rows.select(*scored.columns, (~F.col("base_failed") & inside(F.col("log_perplexity"), "char") & inside(F.col("nats") / F.col("n_words"), "word")).alias("kept"))
+    out = scratch.keep(out.drop("lang", "nats"), "out")
     shared.unpersist()
     scratch.clear(out)
     return out
