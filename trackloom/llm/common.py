@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,6 +51,11 @@ class Scratch:
         df.write.parquet(at := self.path(name))
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def free(self) -> None:
+        """Let Spark's cleaner remove the shuffle files of finished steps now, not at some later collection."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def clear(self, *but: DataFrame) -> None:
         held = {f for df in but for f in df.inputFiles()}
         jvm = self.spark.sparkContext._jvm

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import decontam, langid, mixing, pii, quality, simhash, warc
+from trackloom.llm import decontam, langid, mixing, pii, quality, simhash, substrings, suffixes, warc
 from trackloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,10 +38,18 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(docs, with_text=False).withColumnRenamed("id", "doc_id").drop("masked")
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents"), with_bytes=False).drop("kept")
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -49,7 +57,9 @@ QUERIES: dict[str, Query] = {
     "op4_langid": op4_langid,
     "op5_quality": op5_quality,
     "op6_pii": op6_pii,
+    "op7_substrings": op7_substrings,
     "op9_warc": op9_warc,
+    "op10_suffixes": op10_suffixes,
 }
 
 ORACLE: dict[str, str] = {}
