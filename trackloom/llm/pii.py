@@ -400,3 +400,23 @@ def detect(docs: DataFrame, tagger: Tagger | None = None, with_text: bool = True
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", "text").mapInArrow(run, f"id {kind}, {SCHEMA}")
+
+
+def mask(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
+    """``docs`` with all personal data in ``text`` masked; every other column as it is, null text stays null."""
+    shared = docs.sparkSession.sparkContext.broadcast((tagger or trained()).p)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Tagger()
+        own.p = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                texts = batch.column(place).to_pylist()
+                found = find([x or "" for x in texts], own)
+                new = [None if x is None else masked(x, every) for x, (_, every) in zip(texts, found)]
+                cols = [pa.array(new, pa.string()) if k == place else batch.column(k) for k in range(batch.num_columns)]
+                yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)

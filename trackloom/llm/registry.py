@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackloom.llm import decontam, langid, mixing, pii, quality, simhash, substrings, suffixes, warc
+from trackloom.llm import decontam, htmltext, langid, mixing, pii, quality, simhash, substrings, suffixes, warc
 from trackloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
+def op8_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality": op5_quality,
     "op6_pii": op6_pii,
     "op7_substrings": op7_substrings,
+    "op8_htmltext": op8_htmltext,
     "op9_warc": op9_warc,
     "op10_suffixes": op10_suffixes,
 }
