@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from trackloom.plans import interval_queries
+from trackloom.plans.common import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
+CATALOGS = [interval_queries.catalog]
+QUERIES: dict[str, Query] = {k: v for c in CATALOGS for k, v in c.queries.items()}
+ORACLE: dict[str, str] = {k: v for c in CATALOGS for k, v in c.oracle.items()}
 FLAGSHIP = "score_report"
 
 
