@@ -1,8 +1,8 @@
 """Plane geometry as Column expressions.
 
-Polygons are given as literal points and unrolled into plain arithmetic, so a containment test is part of the
-generated code of its stage and needs no join. Zone tables are small; with more than some dozens of polygons,
-join points to bounding boxes first.
+Polygons are given as literal points: parity of crossings is unrolled into plain arithmetic of the stage's generated
+code, distances fold over a constant array of edges, and no join is needed. Zone tables are small; with more than
+some dozens of polygons, join points to bounding boxes first.
 """
 
 from __future__ import annotations
@@ -24,18 +24,18 @@ def edges(polygon: Polygon) -> list[tuple[float, float, float, float]]:
     return [e for e in out if e[2] ** 2 + e[3] ** 2 > 1e-12]
 
 
-def edge_distance(x: Column, y: Column, edge: tuple[float, float, float, float]) -> Column:
-    ex, ey, dx, dy = edge
-    along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - ex) * dx + (y - ey) * dy) / (dx * dx + dy * dy)))
-    return F.sqrt((x - (ex + along * dx)) * (x - (ex + along * dx)) + (y - (ey + along * dy)) * (y - (ey + along * dy)))
+def edge_array(polygon: Polygon) -> Column:
+    """The edges as a literal array (folded to a constant), numbered."""
+    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("x", "y", "dx", "dy"), e)], F.lit(i).alias("i")) for i, e in enumerate(edges(polygon))])
 
 
-def _least(parts: list[Column]) -> Column:
-    return F.least(*parts) if len(parts) > 1 else parts[0]
+def edge_distance(x: Column, y: Column, e: Column) -> Column:
+    along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - e["x"]) * e["dx"] + (y - e["y"]) * e["dy"]) / (e["dx"] * e["dx"] + e["dy"] * e["dy"])))
+    return F.hypot(x - (e["x"] + along * e["dx"]), y - (e["y"] + along * e["dy"]))
 
 
 def boundary_distance(x: Column, y: Column, polygon: Polygon) -> Column:
-    return _least([edge_distance(x, y, e) for e in edges(polygon)])
+    return F.array_min(F.transform(edge_array(polygon), lambda e: edge_distance(x, y, e)))
 
 
 def _odd(x: Column, y: Column, polygon: Polygon) -> Column:
@@ -52,7 +52,7 @@ def inside(x: Column, y: Column, polygon: Polygon) -> Column:
 def signed_distance(x: Column, y: Column, polygon: Polygon) -> Column:
     """Distance to the border, positive inside."""
     d = boundary_distance(x, y, polygon)
-    return F.when(_odd(x, y, polygon), d).otherwise(-d)
+    return F.when(_odd(x, y, polygon), d).otherwise(0.0 - d)
 
 
 def any_inside(x: Column, y: Column, polygons: Sequence[Polygon]) -> Column:
@@ -66,13 +66,12 @@ def containing(x: Column, y: Column, polygons: Sequence[Polygon]) -> Column:
 
 def follows_edge(x: Column, y: Column, mx: Column, my: Column, polygons: Sequence[Polygon], margin: Column, least: float = 0.866) -> Column:
     """Near the nearest edge of some polygon and moving within 30 degrees of it; no motion is never parallel."""
-    length = F.sqrt(mx * mx + my * my)
-    tests = []
-    for polygon in polygons:
-        own = [F.struct(edge_distance(x, y, e).alias("d"), F.lit(i).alias("i"), (F.abs(mx * e[2] + my * e[3]) / ((e[2] ** 2 + e[3] ** 2) ** 0.5)).alias("a")) for i, e in enumerate(edges(polygon))]
-        if own:
-            nearest = F.least(*own) if len(own) > 1 else own[0]
-            tests.append((nearest["d"] <= margin) & (nearest["a"] >= least * length))
+    length = F.hypot(mx, my)
+
+    def seen(e: Column) -> Column:
+        return F.struct(edge_distance(x, y, e).alias("d"), e["i"].alias("i"), (F.abs(mx * e["dx"] + my * e["dy"]) / F.hypot(e["dx"], e["dy"])).alias("a"))
+
+    tests = [F.exists(F.array(F.array_min(F.transform(edge_array(p), seen))), lambda n: (n["d"] <= margin) & (n["a"] >= least * length)) for p in polygons if edges(p)]
     return (length >= 1e-6) & reduce(lambda a, b: a | b, tests, F.lit(False))
 
 

@@ -36,11 +36,20 @@ def velocity(w: WindowSpec, x: str, t: str, reach: int = 5) -> Column:
     return (F.last(x).over(around) - F.first(x).over(around)) / dt
 
 
-def movement(w: WindowSpec, points: Sequence[str], t: str, reach: float = 1.01) -> tuple[Column, Column]:
+def within(fn: str, keys: Sequence[str], t: str, low: float | None, high: float | None) -> Column:
+    """An aggregate over a RANGE frame around a double: from ``low`` to ``high`` seconds away (None: unbounded)."""
+
+    def edge(x: float | None, side: str) -> str:
+        return f"UNBOUNDED {side}" if x is None else "CURRENT ROW" if x == 0 else f"{abs(float(x))!r}D {'PRECEDING' if x < 0 else 'FOLLOWING'}"
+
+    return F.expr(f"{fn} OVER (PARTITION BY {', '.join(keys)} ORDER BY {t} RANGE BETWEEN {edge(low, 'PRECEDING')} AND {edge(high, 'FOLLOWING')})")
+
+
+def movement(keys: Sequence[str], points: Sequence[str], t: str, reach: float = 1.01) -> tuple[Column, Column]:
     """(distance, elapsed) between the first and last sample within ``reach`` seconds."""
-    around = w.rangeBetween(-reach, reach)
-    moved = [F.last(p).over(around) - F.first(p).over(around) for p in points]
-    return F.sqrt(sum((m * m for m in moved[1:]), moved[0] * moved[0])), F.last(t).over(around) - F.first(t).over(around)
+    end = lambda f, c: within(f"{f}({c})", keys, t, -reach, reach)
+    moved = [end("last", p) - end("first", p) for p in points]
+    return F.sqrt(sum((m * m for m in moved[1:]), moved[0] * moved[0])), end("last", t) - end("first", t)
 
 
 def step_speed(w: WindowSpec, points: Sequence[str], t: str, most: float) -> Column:
