@@ -86,7 +86,11 @@ def zone_findings(zones: DataFrame, width: float, height: float) -> DataFrame:
     table = zones.sparkSession.createDataFrame([(t, least) for t, least in {t: n for t, n, _, _ in kinds}.items()], "type string, least int")
     rows = zones.join(F.broadcast(table), "type", "left").withColumn("same", F.count("*").over(Window.partitionBy("video", "id")))
     outside = ~F.forall("points", lambda p: p["x"].between(0, width) & p["y"].between(0, height))
-    allowed = reduce(lambda a, b: a | b, [(F.col("type") == t) & F.forall(F.map_entries("attrs"), lambda e, k=k, v=v: (e["key"] == k) & e["value"].isin(*v) if k else F.lit(False)) for t, _, k, v in kinds], F.size(F.map_keys("attrs")) == 0)
+    def fits(kind: str, name: str, values: list[str]) -> Column:
+        own = F.forall(F.map_entries("attrs"), lambda e: (e["key"] == name) & e["value"].isin(*values)) if name else F.size(F.map_keys("attrs")) == 0
+        return (F.col("type") == kind) & own
+
+    allowed = reduce(lambda a, b: a | b, [fits(t, k, v) for t, _, k, v in kinds], F.size(F.map_keys("attrs")) == 0)
     return union([
         finding(rows, ~F.col("id").rlike("^[A-Za-z0-9_-]{1,64}$"), "bad id"), finding(rows, F.col("same") > 1, "id used twice"), finding(rows, F.col("least").isNull(), "unknown type"),
         finding(rows, F.size("points") < F.col("least"), "too few points"), finding(rows, outside, "outside the frame"), finding(rows, F.col("least").isNotNull() & ~allowed, "bad attribute"),
