@@ -122,3 +122,12 @@ def _finish(out: DataFrame, runs: Runs, scratch: Scratch) -> DataFrame:
     scratch.free()
     scratch.clear(out)
     return out
+
+
+#: DuckDB's form of ``dedup`` over documents, for unique ids.
+ORACLE = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ win AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 18, 1))) AS s, w FROM d), g AS (SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS g FROM win),
+ later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS rn FROM g) WHERE rn > 1),
+ gone AS (SELECT DISTINCT doc_id, s + o.range AS p FROM later, range(20) o), gl AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+ r AS (SELECT d.doc_id, len(w) AS n, coalesce(len(ps), 0) AS k, CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END AS kept FROM d LEFT JOIN gl USING (doc_id))
+ SELECT doc_id, n::BIGINT AS n_words, k::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM r"""

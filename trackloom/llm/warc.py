@@ -205,3 +205,11 @@ def round_trip(pages: DataFrame) -> DataFrame:
     out = scratch.keep(out, "out")
     scratch.clear(out)
     return out
+
+
+#: DuckDB's form of ``round_trip``: base32 from the digest's 160 bits, five at a time.
+ORACLE = r"""WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+ b AS (SELECT page_id, h, x, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(instr('0123456789abcdef', x[i]) - 1), 4, '0')), '') AS bits FROM p),
+ d AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda j: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[list_sum(list_transform(range(1, 6), lambda q: CASE WHEN bits[j * 5 + q] = '1' THEN 1 << (5 - q) ELSE 0 END))::BIGINT + 1]), '') AS digest FROM b),
+ f AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first, count(*) OVER (PARTITION BY x) AS n FROM d)
+ SELECT page_id, strlen(h)::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN n > 1 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n > 1 AND page_id <> first THEN first END AS refers_to FROM f"""
