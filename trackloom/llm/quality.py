@@ -3,8 +3,8 @@
 The language model is a modified Kneser-Ney model of characters, one for each value of ``lang`` (null is a
 language of its own). Spark counts all n-grams of all texts; tasks pre-aggregate, so what is shuffled is a
 row per n-gram, language and task. Characters fall into 128 classes (ASCII as it is, all other code points
-in 21 classes), which bounds the model: at most 128**3 trigrams a language. Order 4 is used while the tables
-hold ``MOST_NGRAMS`` n-grams in all, order 3 beyond. A model is sorted hash arrays: n-gram hashes in
+in 21 classes), which bounds the model: at most 128**3 trigrams a language. Order is 4, or 3 for a language with more
+than ``MOST_NGRAMS`` n-grams; models go to the tasks in groups of at most so many, a pass for each. A model is sorted hash arrays: n-gram hashes in
 order, with interpolated log-probabilities and back-off weights beside them.
 
 Each text's log-perplexity, in nats a character and in nats a word, is held against its language's band,
@@ -17,6 +17,7 @@ Texts of one language only, empty tables and null languages need no special case
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -112,8 +113,22 @@ def _mix(key: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _sorted(key: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes in order, and log p beside them."""
+    h = _mix(key)
+    o = np.argsort(h)
+    return h[o], np.log(np.maximum(p[o], 1e-12)).astype(np.float32)
+
+
+def _find(hashes: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in a sorted hash array, and which are there."""
+    want = _mix(key)
+    at = np.minimum(np.searchsorted(hashes, want), max(len(hashes) - 1, 0))
+    return at, (hashes[at] == want) if len(hashes) else np.zeros(len(key), bool)
+
+
 class Model:
-    """Interpolated modified Kneser-Ney; ``tables[k]``: sorted hashes, log-probabilities, log back-off weights of k-grams."""
+    """Interpolated modified Kneser-Ney. Sorted hash arrays: ``tables[k - 1]`` of k-grams and their log-probabilities, ``back[k - 1]`` of contexts of k-grams and their log back-off weights."""
 
     def __init__(self, gram: np.ndarray, n: np.ndarray, order: int = ORDER):
         order_of = np.argsort(gram)
@@ -124,7 +139,7 @@ class Model:
             first = np.flatnonzero(np.r_[True, lower[1:] != lower[:-1]]) if len(lower) else np.zeros(0, np.int64)
             levels.append((lower[first], np.diff(np.r_[first, len(lower)]).astype(np.float64)))
         levels.reverse()
-        self.order, self.tables = order, []
+        self.order, self.tables, self.back = order, [], []
         base = 1.0 / (1 << CLASS_BITS)
         below_key, below_p = None, None
         for k, (key, c) in enumerate(levels, 1):
@@ -139,28 +154,13 @@ class Model:
             gamma = np.add.reduceat(discount, first) / total if len(key) else c
             lower = np.full(len(key), base) if k == 1 else below_p[np.searchsorted(below_key, key & ((1 << (CLASS_BITS * (k - 1))) - 1))]
             p = np.maximum(c - discount, 0) / total[which] + gamma[which] * lower if len(key) else c
-            self.tables.append([key, np.log(np.maximum(p, 1e-12)), np.zeros(len(key))])
-            if k == 1:
-                self.unseen = float(np.log(max(gamma[0] * base, 1e-12))) if len(key) else float(np.log(base))
-            else:  # gamma belongs to the context, a (k-1)-gram
-                at = np.searchsorted(below_key, head[first])
-                inside = at < len(below_key)
-                inside[inside] &= below_key[at[inside]] == head[first][inside]
-                self.tables[k - 2][2][at[inside]] = np.log(np.maximum(gamma[inside], 1e-12))
+            self.tables.append(_sorted(key, p))
+            self.back.append(_sorted(head[first], gamma))
             below_key, below_p = key, p
-        for t in self.tables:  # sorted hash arrays
-            h = _mix(t[0])
-            o = np.argsort(h)
-            t[:] = [h[o], t[1][o].astype(np.float32), t[2][o].astype(np.float32)]
+        self.unseen = float(np.log(base)) if not len(self.back[0][0]) else float(self.back[0][1][0] + np.log(base))
 
     def bytes(self) -> int:
-        return sum(a.nbytes for t in self.tables for a in t)
-
-    def _find(self, key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        h = self.tables[k - 1][0]
-        want = _mix(key)
-        at = np.minimum(np.searchsorted(h, want), max(len(h) - 1, 0))
-        return at, (h[at] == want) if len(h) else np.zeros(len(key), bool)
+        return sum(a.nbytes for t in (*self.tables, *self.back) for a in t)
 
     def logp(self, key: np.ndarray) -> np.ndarray:
         """Natural log-probability of the last character of each packed n-gram."""
@@ -168,34 +168,67 @@ class Model:
         left = np.arange(len(key))
         for k in range(self.order, 0, -1):
             part = key[left] & ((1 << (CLASS_BITS * k)) - 1)
-            at, hit = self._find(part, k)
+            at, hit = _find(self.tables[k - 1][0], part)
             out[left[hit]] += self.tables[k - 1][1][at[hit]]
             left, part = left[~hit], part[~hit]
             if not len(left):
                 break
             if k > 1:
-                at, hit = self._find(part >> CLASS_BITS, k - 1)
-                out[left[hit]] += self.tables[k - 2][2][at[hit]]
+                at, hit = _find(self.back[k - 1][0], part >> CLASS_BITS)
+                out[left[hit]] += self.back[k - 1][1][at[hit]]
             else:
                 out[left] += self.unseen
         return out
 
 
-def models(grams: DataFrame) -> dict[str, Model]:
-    """Models from the written counts. The driver gets at most ``MOST_NGRAMS`` rows, or else trigrams."""
-    order = ORDER
-    if grams.limit(MOST_NGRAMS + 1).count() > MOST_NGRAMS:
-        order = 3
-        grams = grams.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << (3 * CLASS_BITS)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-    if (n := grams.select("lang").distinct().count()) > MOST_LANGUAGES:
-        raise ValueError(f"{n} languages are more than one set of models can serve")
+def shards(grams: DataFrame, most: int = MOST_NGRAMS) -> list[list[tuple[str, int]]]:
+    """Languages, with the order of their models, in groups whose tables hold at most ``most`` n-grams.
+
+    A language that has more of order 4 falls to order 3, of which 128**3 exist. Only counts reach the driver, a row a language.
+    """
+    sizes = grams.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    out: list[list[tuple[str, int]]] = []
+    room = 0
+    for lang, n in sorted(tuple(r) for r in sizes):
+        order, n = (ORDER, n) if n <= most else (3, min(n, 1 << (3 * CLASS_BITS)))
+        if not out or n > room:
+            out.append([])
+            room = most
+        out[-1].append((lang, order))
+        room -= n
+    return out or [[]]
+
+
+def models(grams: DataFrame, languages: list[tuple[str, int]]) -> dict[str, Model]:
+    """Models of a group of languages from the written counts."""
     out = {}
-    for (lang,) in sorted(grams.select("lang").distinct().collect()):
-        rows = grams.where(F.col("lang") == lang).select("gram", "n").toArrow()
+    for lang, order in languages:
+        rows = grams.where(F.col("lang") == lang)
+        if order < ORDER:
+            rows = rows.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (order * CLASS_BITS)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
+        rows = rows.select("gram", "n").toArrow()
         out[lang] = Model(rows.column("gram").to_numpy(), rows.column("n").to_numpy(), order)
     return out
 
 
+def scores(docs: DataFrame, grams: DataFrame, scratch: Scratch, most: int = MOST_NGRAMS) -> DataFrame:
+    """``id, lang`` and the columns of ``SCORED``: a pass over the texts for each group of models, usually one."""
+    spark, groups = docs.sparkSession, shards(grams, most)
+    kind = docs.schema["id"].dataType.simpleString()
+    name, parts = F.coalesce("lang", F.lit(_NONE)), []
+    others = [lang for g in groups[1:] for lang, _ in g]
+    for k, group in enumerate(groups):
+        own = docs.select("id", "lang", "text")
+        if others:  # the first group also takes languages without any n-gram
+            own = own.where(name.isin(*(lang for lang, _ in group)) if k else ~name.isin(*others))
+        shared = spark.sparkContext.broadcast(models(grams, group))
+        parts.append(scratch.keep(own.mapInArrow(_scorer(shared), f"id {kind}, lang string, {SCORED}"), "scored"))
+        shared.unpersist()
+    return reduce(DataFrame.unionByName, parts)
+
+
 def repeated(words: list[bytes], width: int = 5) -> int:
     """Words inside windows of ``width`` words that occur twice or more, first occurrences included."""
     n = len(words) - width + 1
@@ -291,11 +324,16 @@ def bands(scored: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _measures() -> Column:
-    return F.create_map(F.lit("char"), F.col("log_perplexity"), F.lit("word"), F.col("nats") / F.col("n_words"))
+    return F.create_map(F.lit("char"), F.col("log_perplexity"), F.lit("word"), F.col("nats") / _words())
 
 
 def _unit() -> Column:
-    return F.sqrt(1.0 / F.col("n_words") + 1.0 / STEADY)
+    return F.sqrt(1.0 / _words() + 1.0 / STEADY)
+
+
+def _words() -> Column:
+    """Number of words, 1 for wordless texts (they fail the base rules)."""
+    return F.greatest(F.col("n_words"), F.lit(1))
 
 
 def assess(docs: DataFrame, width: tuple[float, float] = BAND) -> DataFrame:
@@ -303,9 +341,7 @@ def assess(docs: DataFrame, width: tuple[float, float] = BAND) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
     grams = scratch.keep(ngrams(docs), "grams")
-    shared = spark.sparkContext.broadcast(models(grams))
-    kind = docs.schema["id"].dataType.simpleString()
-    scored = scratch.keep(docs.select("id", "lang", "text").mapInArrow(_scorer(shared), f"id {kind}, lang string, {SCORED}"), "scored")
+    scored = scores(docs, grams, scratch)
     limits = scratch.keep(bands(scored, scratch), "bands")
     wide = limits.groupBy(F.col("of")).agg(*(F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}") for m in ("char", "word") for c in ("median", "spread")))
 
@@ -314,8 +350,7 @@ def assess(docs: DataFrame, width: tuple[float, float] = BAND) -> DataFrame:
         return F.coalesce(z.between(-width[0], width[1]), F.lit(True))
 
     rows = scored.join(F.broadcast(wide), F.col("lang").eqNullSafe(F.col("of")), "left")
-    out = rows.select(*scored.columns, (~F.col("base_failed") & inside(F.col("log_perplexity"), "char") & inside(F.col("nats") / F.col("n_words"), "word")).alias("kept"))
+    out = rows.select(*scored.columns, (~F.col("base_failed") & inside(F.col("log_perplexity"), "char") & inside(F.col("nats") / _words(), "word")).alias("kept"))
     out = scratch.keep(out.drop("lang", "nats"), "out")
-    shared.unpersist()
     scratch.clear(out)
     return out
