@@ -29,7 +29,7 @@ TL = SM + """, e AS (SELECT *, coalesce(lead(frame) OVER (PARTITION BY video ORD
    max(end_frame) OVER (PARTITION BY video, run) - min(frame) OVER (PARTITION BY video, run) AS len FROM r),
  l AS (SELECT *, coalesce(NOT known AND len <= 30 AND bf = af, false) AS imputed FROM b), m AS (SELECT *, CASE WHEN known THEN state WHEN imputed THEN bf ELSE 'unknown' END AS label FROM l),
  n AS (SELECT *, frame - lag(frame) OVER (PARTITION BY video ORDER BY frame) AS step, sum(CASE WHEN c2 THEN 1 ELSE 0 END) OVER (PARTITION BY video ORDER BY frame) AS run2 FROM (SELECT *, label IS DISTINCT FROM lag(label) OVER (PARTITION BY video ORDER BY frame) AS c2 FROM m)),
- g AS (SELECT video, run2, min(frame) AS start_frame, max(end_frame) AS end_frame, min(label) AS state, count(*) AS n_samples, count(*) FILTER (known) AS n_observed, count(*) FILTER (imputed) AS n_imputed, coalesce(arg_min(step, frame), 0) AS u FROM n GROUP BY video, run2),
+ g AS (SELECT video, run2, min(frame) AS start_frame, max(end_frame) AS end_frame, min(label) AS state, count(*) AS n_samples, count(*) FILTER (known) AS n_observed, count(*) FILTER (imputed) AS n_imputed, coalesce(first(step ORDER BY frame), 0) AS u FROM n GROUP BY video, run2),
  tl AS (SELECT video, start_frame, end_frame, state, n_samples, n_observed, n_imputed, CASE WHEN state = 'unknown' THEN n_samples - n_observed - n_imputed ELSE 0 END AS n_unobserved, n_imputed > 0 AS imputed,
    u + CASE WHEN lag(state) OVER w = 'unknown' AND state <> 'unknown' THEN lag(end_frame - start_frame) OVER w ELSE 0 END AS start_uncertainty_frames FROM g WINDOW w AS (PARTITION BY video ORDER BY start_frame))"""
 
