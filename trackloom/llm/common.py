@@ -41,9 +41,11 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made: list[str] = []
+        self.count = 0
 
     def path(self, name: str) -> str:
-        at = f"{self.root}/{len(self.made):03d}-{name}"
+        self.count += 1
+        at = f"{self.root}/{self.count:03d}-{name}"
         self.made.append(at)
         return at
 
@@ -56,14 +58,24 @@ class Scratch:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
-    def clear(self, *but: DataFrame) -> None:
-        held = {f for df in but for f in df.inputFiles()}
+    def _of(self, *dfs: DataFrame) -> set[str]:
+        """Tables made here that the rows of ``dfs`` are read from."""
+        files = {f for df in dfs for f in df.inputFiles()}
+        return {at for at in self.made if any(at.removeprefix(self.root) + "/" in f for f in files)}
+
+    def remove(self, *paths: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        for at in self.made:
-            leaf = at.removeprefix(self.root)
-            if not any(leaf + "/" in f for f in held):
-                path = jvm.org.apache.hadoop.fs.Path(at)
-                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for at in paths:
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.made.remove(at)
+
+    def discard(self, *dfs: DataFrame) -> None:
+        """Delete written tables that nothing will read again."""
+        self.remove(*self._of(*dfs))
+
+    def clear(self, *but: DataFrame) -> None:
+        self.remove(*set(self.made) - self._of(*but))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -70,11 +70,13 @@ class Runs:
         self.spark, self.scratch, self.fanout = spark, scratch, fanout
         self.buckets = buckets or partitions(spark)
         self.names: list[str] = []
+        self.paths: dict[str, str] = {}
 
     def _write(self, rows: DataFrame) -> str:
         name = f"run_{uuid.uuid4().hex}"
         dealt = rows.repartition(self.buckets, "anchor").sortWithinPartitions("anchor", "uid", "at")
         dealt.write.bucketBy(self.buckets, "anchor").sortBy("anchor", "uid", "at").option("path", self.scratch.path(name)).saveAsTable(name)
+        self.paths[name] = self.scratch.made[-1]
         self.scratch.free()
         return name
 
@@ -94,8 +96,7 @@ class Runs:
     def compact(self) -> None:
         """Merge all runs into one."""
         merged = self._write(self.rows())
-        for old in self.names:
-            self.spark.sql(f"DROP TABLE {old}")
+        self.drop()
         self.names = [merged]
 
     def rows(self) -> DataFrame:
@@ -107,8 +108,10 @@ class Runs:
         return self.scratch.keep(reduce(DataFrame.unionByName, parts), "occurrences")
 
     def drop(self) -> None:
+        """Forget all runs and delete their files."""
         for name in self.names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self.scratch.remove(self.paths.pop(name))
         self.names = []
 
 
@@ -120,4 +123,7 @@ def contexts(occurrences: DataFrame, scratch: Scratch) -> DataFrame:
     where = F.struct("uid", "at")
     by = scratch.keep(occurrences.groupBy("anchor", "context").agg(F.min(where).alias("first"), F.max(where).alias("last")), "contexts")
     several = by.groupBy("anchor").agg(F.count("*").alias("n"), F.count(F.when(F.col("first") == F.col("last"), 1)).alias("lone"))
-    return by.join(several, "anchor").select("anchor", "context", "first", (F.col("first") == F.col("last")).alias("single"), "n", "lone")
+    out = by.join(several, "anchor").select("anchor", "context", "first", (F.col("first") == F.col("last")).alias("single"), "n", "lone")
+    out = scratch.keep(out, "by-context")
+    scratch.discard(by)
+    return out

@@ -78,18 +78,23 @@ def _removed(length: int, with_text: bool):
 
 def repeated_windows(docs: DataFrame, occurrences: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame:
     """``uid, at`` of runs of windows that also start earlier; ``docs(uid, text)`` holds the texts of all occurrences."""
-    by = scratch.keep(contexts(occurrences, scratch), "by-context")
+    by = contexts(occurrences, scratch)
     later = by.where("not single").select("anchor", "context", "first")
     later = occurrences.join(later, ["anchor", "context"]).where(F.struct("uid", "at") > F.col("first")).select("uid", "at")
     later = scratch.keep(later, "later")
+    scratch.discard(occurrences)
+    scratch.free()
     unsure = by.where("n > 1").select("first.uid", "first.at").groupBy("uid").agg(F.collect_list("at").alias("at"))
     windows = docs.select("uid", "text").join(unsure, "uid").mapInArrow(_windows(length), "h long, k long, uid long, start long")
     windows = scratch.keep(windows, "windows")
+    scratch.discard(by)
     scratch.free()
     where = F.struct("uid", "start")
     firsts = windows.groupBy("h", "k").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first <> last").drop("last")
     single = windows.join(firsts, ["h", "k"]).where(where > F.col("first")).select("uid", one_window(F.col("start")).alias("at"))
-    return scratch.keep(later.unionByName(single), "ranges")
+    out = scratch.keep(later.unionByName(single), "ranges")
+    scratch.discard(later, windows)
+    return out
 
 
 def dedup(docs: DataFrame, batches: int = BATCHES, length: int = LENGTH, gram: int = GRAM, fanout: int = 4, with_text: bool = True) -> DataFrame:
@@ -105,7 +110,9 @@ def dedup(docs: DataFrame, batches: int = BATCHES, length: int = LENGTH, gram: i
             part = docs.where((F.col("uid") >= a) & (F.col("uid") < b))
             new = runs.append(fingerprint_rows(part, _units, length, gram))
             matched = new if matched is None else matched.unionByName(new)
-        ranges = repeated_windows(docs, runs.occurrences(matched.distinct()), scratch, length)
+        occurrences = runs.occurrences(matched.distinct())
+        runs.drop()  # a lasting index would keep them
+        ranges = repeated_windows(docs, occurrences, scratch, length)
         ranges = ranges.groupBy("uid").agg(F.collect_list("at").alias("at"))
         scratch.free()
         rows = docs.join(ranges, "uid", "left")
