@@ -207,9 +207,11 @@ def _removed(length: int, with_bytes: bool):
 
 def repeated_strings(docs: DataFrame, occurrences: DataFrame, scratch: Scratch, length: int, group: int) -> DataFrame:
     """``uid, at`` of runs of strings that also start elsewhere."""
-    by = scratch.keep(contexts(occurrences, scratch), "by-context")
+    by = contexts(occurrences, scratch)
     twice = by.where("not single").select("anchor", "context")
     known = scratch.keep(occurrences.join(twice, ["anchor", "context"]).select("uid", "at"), "known")
+    scratch.discard(occurrences)
+    scratch.free()
     wanted = by.where("n > 1 and lone > 0").withColumn("parts", F.ceil(F.col("n") / group).cast("int"))
     wanted = wanted.withColumn("part", F.pmod("context", F.col("parts")).cast("int"))
     wanted = wanted.select("first.uid", F.struct("anchor", "part", "parts", "single", "first.at").alias("wanted")).groupBy("uid").agg(F.collect_list("wanted").alias("wanted"))
@@ -217,6 +219,7 @@ def repeated_strings(docs: DataFrame, occurrences: DataFrame, scratch: Scratch,
     n = max(1, int(scratch.spark.conf.get("spark.sql.shuffle.partitions")))
     members = members.repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part")
     found = scratch.keep(members.mapInArrow(_construct(length), FOUND), "found")
+    scratch.discard(by)
     scratch.free()
     inside = found.where("repeats").select("uid", one_window(F.col("start")).alias("at"))
     # across the groups of a split anchor: windows not yet known to repeat, against all its windows
@@ -224,7 +227,9 @@ def repeated_strings(docs: DataFrame, occurrences: DataFrame, scratch: Scratch,
     where = F.struct("uid", "start")
     several = split.groupBy("h", "k").agg(F.min(where).alias("a"), F.max(where).alias("b")).where("a <> b").select("h", "k")
     across = split.where("repeats is null").join(several, ["h", "k"], "left_semi").select("uid", one_window(F.col("start")).alias("at"))
-    return scratch.keep(known.unionByName(inside).unionByName(across), "ranges")
+    out = scratch.keep(known.unionByName(inside).unionByName(across), "ranges")
+    scratch.discard(known, found)
+    return out
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, with_bytes: bool = True) -> DataFrame:
@@ -234,7 +239,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int =
     docs = with_uid(docs, scratch)
     runs = Runs(spark, scratch)
     matched = runs.append(fingerprint_rows(docs, _units, length, gram))
-    ranges = repeated_strings(docs, runs.occurrences(matched), scratch, length, group)
+    occurrences = runs.occurrences(matched)
+    runs.drop()
+    ranges = repeated_strings(docs, occurrences, scratch, length, group)
     ranges = ranges.groupBy("uid").agg(F.collect_list("at").alias("at"))
     scratch.free()
     kind = docs.schema["doc_id"].dataType.simpleString()
