@@ -1,11 +1,12 @@
 """Quality rules: counts of words, symbols and repeats, and n-gram perplexity under a corpus-counted model.
 
 The language model is a modified Kneser-Ney model of characters, one for each value of ``lang`` (null is a
-language of its own). Spark counts all n-grams of all texts; tasks pre-aggregate, so what is shuffled is a
-row per n-gram, language and task. Characters fall into 128 classes (ASCII as it is, all other code points
-in 21 classes), which bounds the model: at most 128**3 trigrams a language. Order is 4, or 3 for a language with more
-than ``MOST_NGRAMS`` n-grams; models go to the tasks in groups of at most so many, a pass for each. A model is sorted hash arrays: n-gram hashes in
-order, with interpolated log-probabilities and back-off weights beside them.
+language of its own): ``charmodel``, of order 4 over all code points at every size. Spark counts all n-grams of all texts;
+tasks pre-aggregate, so what is shuffled is a row per n-gram, language and task. Where the model has more n-grams than
+one array holds, texts are read once for each array and the sums added.
+
+``packed``, ``ngrams``, ``Model``, ``shards``, ``models`` and ``scores`` are the earlier model of 128 character classes, whose order
+falls to 3 beyond ``MOST_NGRAMS``. Tests hold them; no query uses them.
 
 Each text's log-perplexity, in nats a character and in nats a word, is held against its language's band,
 median -/+ ``BAND`` robust deviations over all documents that pass the base rules; documents outside either go.
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.llm import charmodel
 from trackloom.llm.common import Scratch, small_batches
 
 ORDER = 4
@@ -298,6 +300,61 @@ def _scorer(shared):
     return run
 
 
+RAW = SCORED.replace("log_perplexity double, nats double", "cost long, n_code long, mark long, twin long")
+
+
+def _first_pass(shared):
+    """Counts of each text, and the costs of the n-grams that the first array holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            texts = batch.column("text").to_pylist()
+            cols = [pa.array(c, k) for c, k in zip(zip(*map(base, texts)), [pa.int64()] * 5 + [pa.bool_()])]
+            size = np.array([len(x or "") for x in texts], np.int64)
+            cost = pa.array(shared.value.sums(batch.column("name").to_pylist(), [x or "" for x in texts]), mask=size == 0)
+            names = ["id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "cost", "n_code", "mark", "twin"]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), *cols, cost, pa.array(size), batch.column("mark"), batch.column("twin")], names=names)
+
+    return run
+
+
+def _later_pass(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            cost = shared.value.sums(batch.column("name").to_pylist(), batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("mark"), batch.column("twin"), pa.array(cost)], names=["mark", "twin", "more"])
+
+    return run
+
+
+def graded(docs: DataFrame, scratch: Scratch, most: int = charmodel.MOST) -> DataFrame:
+    """``id, lang`` and the columns of ``SCORED``: a pass over the texts for each array of the model, usually one.
+
+    Later passes are joined by two 64-bit hashes of language and text; equal texts have equal costs.
+    """
+    spark, kind = docs.sparkSession, docs.schema["id"].dataType.simpleString()
+    rows = docs.select("id", "lang", F.coalesce("lang", F.lit(_NONE)).alias("name"), "text")
+    counted = scratch.keep(charmodel.counts(rows.select(F.col("name").alias("lang"), "text")), "grams")
+    table = charmodel.costs(counted, scratch)
+    scored, more = None, []
+    for array in charmodel.arrays(table, most):
+        several = array.of > 1
+        own = rows.withColumns({"mark": F.xxhash64("name", "text") if several else F.lit(0).cast("long"), "twin": F.xxhash64("text", "name", F.lit(1)) if several else F.lit(0).cast("long")})
+        shared = spark.sparkContext.broadcast(array)
+        if scored is None:
+            scored = scratch.keep(own.mapInArrow(_first_pass(shared), f"id {kind}, lang string, {RAW}"), "scored")
+        else:
+            part = own.where("text <> ''").select("name", "text", "mark", "twin").mapInArrow(_later_pass(shared), "mark long, twin long, more long")
+            more.append(scratch.keep(part.groupBy("mark", "twin").agg(F.max("more").alias("more")), "more"))
+        shared.unpersist()
+    if more:
+        rest = reduce(DataFrame.unionByName, more).groupBy("mark", "twin").agg(F.sum("more").alias("more"))
+        scored = scored.join(rest, ["mark", "twin"], "left").withColumn("cost", F.col("cost") + F.coalesce("more", F.lit(0)))
+    nats = F.col("cost") / F.lit(float(charmodel.UNIT))
+    scored = scored.select(*(c for c in scored.columns if c not in ("cost", "n_code", "mark", "twin", "more")), F.when(F.col("n_code") > 0, nats / F.col("n_code")).alias("log_perplexity"), nats.alias("nats"))
+    return scratch.keep(scored, "graded") if more else scored
+
+
 def _middle(rows: DataFrame, name: str) -> DataFrame:
     """Median of ``x`` by (of, measure), from a histogram with bins of ``BIN``: exact counts, so reruns agree."""
     hist = rows.groupBy("of", "measure", F.round(F.col("x") / BIN).alias("x")).agg(F.count("*").alias("n"))
@@ -340,8 +397,7 @@ def assess(docs: DataFrame, width: tuple[float, float] = BAND) -> DataFrame:
     """``id, <counts>, base_failed, log_perplexity, kept`` of every row of ``docs(id, lang, text)``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
-    grams = scratch.keep(ngrams(docs), "grams")
-    scored = scores(docs, grams, scratch)
+    scored = graded(docs, scratch)
     limits = scratch.keep(bands(scored, scratch), "bands")
     wide = limits.groupBy(F.col("of")).agg(*(F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}") for m in ("char", "word") for c in ("median", "spread")))
 
