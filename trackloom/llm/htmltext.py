@@ -7,8 +7,8 @@ threshold by which other subtrees outside it still count as content. An ``articl
 around the main subtree is taken whole.
 
 Menus, headers, footers, side bars, notices, adverts, forms, scripts, styles and reader comments leave
-the tree before densities are taken: by element, by role and by words of class and id. Headings in an
-article's header stay.
+the tree before densities are taken: by element, by role and by whole names in class and id. By name, an element stays
+that holds an ``article`` or ``main`` or more than half of the page's text outside links. Headings in an article's header stay.
 
 Character references are decoded, white space within a block becomes one space, blocks are trimmed and joined by
 a blank line. Null, empty and textless pages give an empty string. Broken markup is read as browsers
@@ -57,30 +57,31 @@ _OUT_WORDS = frozenset(
 )
 _KEPT = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _unwanted(tag: str, raw: str) -> bool:
+def _unwanted(tag: str, raw: str) -> tuple[bool, bool]:
+    """Whether an element is unwanted by itself, and whether by a name in its class or id."""
     if tag in _OUT:
-        return True
+        return True, False
     if not raw or tag in ("html", "body"):
-        return False
+        return False, False
+    named = False
     for m in _ATTRIBUTE.finditer(raw):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "role" and value.strip().lower() in _OUT_ROLES:
-            return True
+            return True, False
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-        if name in ("class", "id") and tag not in _KEPT and any(w.lower() in _OUT_WORDS for w in _WORD.findall(value)):
-            return True
-    return False
+            return True, False
+        if name in ("class", "id") and tag not in _KEPT and any(w in _OUT_WORDS for w in value.lower().split()):
+            named = True
+    return False, named
 
 
 class Tree:
     """Nodes in page order (a parent stands before its children) and the events of the page."""
 
     def __init__(self, page: str):
-        self.tags, self.parent, self.out, self.events = ["#root"], [-1], [False], []
+        self.tags, self.parent, self.out, self.named, self.events = ["#root"], [-1], [False], [False], []
         path = [0]
         at, lower = 0, None
         for m in _TOKEN.finditer(page):
@@ -114,7 +115,9 @@ class Tree:
             node = len(self.tags)
             self.tags.append(tag)
             self.parent.append(path[-1])
-            self.out.append(_unwanted(tag, raw))
+            out, named = _unwanted(tag, raw)
+            self.out.append(out)
+            self.named.append(named)
             self.events.append((node, None))
             if tag not in _VOID and not (raw.endswith("/") and tag not in _BLOCK and tag not in ("a", "b", "i", "span", "em", "strong")):
                 path.append(node)
@@ -146,15 +149,34 @@ class Tree:
                 return
 
 
+def _named_out(tree: Tree) -> list[bool]:
+    """Elements that their class or id drops: not those around an article or most of the text outside links."""
+    n, tags, parent = len(tree.tags), tree.tags, tree.parent
+    if not any(tree.named):
+        return tree.named
+    out, anchor, holds, plain = [False] * n, [False] * n, [False] * n, [0] * n
+    for k in range(1, n):
+        out[k] = out[parent[k]] or tree.out[k]
+        anchor[k] = anchor[parent[k]] or tags[k] == "a"
+        holds[k] = tags[k] in ("article", "main") and not out[k]
+    for node, text in tree.events:
+        if text is not None and not out[node] and not anchor[node]:
+            plain[node] += len("".join(text.split()))
+    for k in range(n - 1, 0, -1):
+        plain[parent[k]] += plain[k]
+        holds[parent[k]] = holds[parent[k]] or holds[k]
+    return [tree.named[k] and not holds[k] and 2 * plain[k] <= plain[0] for k in range(n)]
+
+
 def _selected(tree: Tree) -> list[bool]:
     """Nodes whose text is the main text."""
     n, tags, parent = len(tree.tags), tree.tags, tree.parent
-    dropped, held, heading = [False] * n, [False] * n, [False] * n
+    named, dropped, held, heading = _named_out(tree), [False] * n, [False] * n, [False] * n
     for k in range(1, n):
         p = parent[k]
         held[k] = held[p] or tags[k] in ("article", "main")
         heading[k] = heading[p] or tags[k] in _HEADING
-        dropped[k] = dropped[p] or tree.out[k] or (tags[k] == "header" and not held[p])
+        dropped[k] = dropped[p] or tree.out[k] or named[k] or (tags[k] == "header" and not held[p])
     top = [False] * n  # inside a header within an article only headings stay
     for k in range(1, n):
         top[k] = top[parent[k]] or (tags[k] == "header" and held[parent[k]])
