@@ -5,8 +5,9 @@ labelled spans in generated sentences: the base formats and ways in which people
 is seeded and takes some seconds on the driver, once a process; the weights (some tens of kilobytes) go to the tasks.
 
 Every whole text is scanned. Kinds that the network knows hold a digit, an ``@`` or a bracketed "at", so
-windows of ``WINDOW`` characters are laid around these marks, every ``STEP`` characters, and no others. Each
-window is decoded by Viterbi; the spans of all windows of a text are then reconciled together: of
+windows of ``WINDOW`` characters are laid every ``STEP`` characters, all that hold a mark and no others; "at" signs also
+have one of twice that width around them. Each window is decoded by Viterbi; a span that touches an edge is decoded again in
+a window of twice the width, until it does not. The spans of all windows of a text are then reconciled together: of
 overlapping ones the span farthest from its window's edges stays. Base spans always stay; a network span that
 touches one is dropped, as is one without the digits or signs of its kind.
 
@@ -322,42 +323,58 @@ def reconcile(found: list[tuple[int, Span]], base: list[Span]) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def _windows(text: str) -> list[int]:
-    """Starts of the windows whose inner half holds a mark."""
-    starts, last = [], -1
-    edge = (WINDOW - STEP) // 2
+def _around(middle: int, width: int) -> int:
+    """Start of the window of a width, aligned to half of it, whose inner half holds a place."""
+    return max(0, (middle - width // 4) // (width // 2) * (width // 2))
+
+
+def _windows(text: str) -> list[tuple[int, int]]:
+    """Starts and widths of all windows that hold a mark, and of wide ones around "at" signs."""
+    out: dict[tuple[int, int], None] = {}
     for m in _MARK.finditer(text):
-        k = max(0, (m.start() - edge) // STEP)
-        if k != last:
-            starts.append(k * STEP)
-            last = k
-    return starts
+        k = m.start() // STEP
+        out[max(0, k - 1) * STEP, WINDOW] = out[k * STEP, WINDOW] = None
+        if not m[0].isdigit():
+            out[max(0, m.start() - WINDOW), 2 * WINDOW] = None
+    return list(out)
+
+
+def _decoded(texts: list[str], todo: list[tuple[int, int, int]], tagger: Tagger, cells: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """Tag paths of windows (text, start, width), those of one width together."""
+    for width in sorted({w for *_, w in todo}):
+        own, rows = [x for x in todo if x[2] == width], max(1, cells // width)
+        for at in range(0, len(own), rows):
+            part = own[at : at + rows]
+            ids = np.zeros((len(part), width), np.int64)
+            for r, (k, s, _) in enumerate(part):
+                code = encode(texts[k][s : s + width])
+                ids[r, : len(code)] = code
+            yield from ((*x, path) for x, path in zip(part, tagger.decode(ids)))
 
 
 def find(texts: list[str], tagger: Tagger, rows: int = 512) -> Iterator[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text; windows of many texts are decoded together."""
     base = [base_spans(t) for t in texts]
     found: list[list[tuple[int, Span]]] = [[] for _ in texts]
-    todo = [(k, s) for k, t in enumerate(texts) for s in _windows(t)]
-    # windows that a base span explains wholly need no decoding: a network span that touches one is dropped
-    for at in range(0, len(todo), rows):
-        part = todo[at : at + rows]
-        ids = np.zeros((len(part), WINDOW), np.int64)
-        for r, (k, s) in enumerate(part):
-            own = encode(texts[k][s : s + WINDOW])
-            ids[r, : len(own)] = own
-        for (k, s), path in zip(part, tagger.decode(ids)):
-            if path.any():
-                for kind, a, b in spans_of(path):
-                    a, b = a + s, min(b + s, len(texts[k]))
-                    value = texts[k][a:b]
-                    lost = len(value) - len(value.lstrip())
-                    a, b = a + lost, a + len(value.rstrip())
-                    if b > a and _plausible(kind, texts[k][a:b]):
-                        left = a - s if s else WINDOW
-                        right = s + WINDOW - b if s + WINDOW < len(texts[k]) else WINDOW
-                        if min(left, right) > 0:
-                            found[k].append((min(left, right), (kind, a, b)))
+    todo = [(k, *x) for k, t in enumerate(texts) for x in _windows(t)]
+    while todo:
+        wider: dict[tuple[int, int, int], None] = {}
+        for k, s, width, path in _decoded(texts, todo, tagger, rows * WINDOW):
+            if not path.any():
+                continue
+            for kind, a, b in spans_of(path):
+                a, b = a + s, min(b + s, len(texts[k]))
+                if (s and a <= s) or b >= s + width < len(texts[k]):
+                    wider[k, _around((a + b) // 2, 2 * width), 2 * width] = None
+                    continue
+                value = texts[k][a:b]
+                lost = len(value) - len(value.lstrip())
+                a, b = a + lost, a + len(value.rstrip())
+                if b > a and _plausible(kind, texts[k][a:b]):
+                    left = a - s if s else width
+                    right = s + width - b if s + width < len(texts[k]) else width
+                    found[k].append((min(left, right), (kind, a, b)))
+        todo = list(wider)
     for k in range(len(texts)):
         yield base[k], reconcile(found[k], base[k])
 
