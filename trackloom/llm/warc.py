@@ -3,9 +3,9 @@
 Archives are written by Spark's own text writer, so they may live in any store: a row of text is a whole
 record (header and payload, both UTF-8) and the line separator is the CRLF CRLF that ends a record. The
 reader takes whole archive files as bytes. Each record is checked (version line, length, the CRLF CRLF after
-the payload, payload digest). After a failed check the reader searches on for the next version line or,
-in compressed archives, the next valid gzip member, recovers what follows and logs the byte gap that it
-quarantined.
+the payload, payload digest if its algorithm is known). Where neither a version line (1.0 or 1.1) nor a valid gzip member stands,
+or a check fails, the reader searches on for whichever comes first, recovers what follows and logs the byte gap that it
+quarantined. An archive's first bytes decide nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.common import Scratch
 
-VERSION = b"WARC/1.1\r\n"
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_MAGIC = b"\x1f\x8b\x08"
+_NEXT = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 END = b"\r\n\r\n"
 DATE = "2020-01-01T00:00:00Z"
 RECORDS_IN_FILE = 1000
@@ -50,6 +52,18 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def _differs(label: str, payload: bytes) -> bool:
+    """Whether a labelled digest (base32 or hex; SHA-1 if it has no label) is not the payload's. Unknown algorithms cannot be checked."""
+    name, colon, value = label.strip().rpartition(":")
+    name = name.strip().lower().replace("-", "") if colon else "sha1"
+    if colon and not re.fullmatch(r"[a-z0-9_]+", name):
+        return True  # damaged
+    if not value or name not in ("sha1", "sha256", "sha512", "md5"):
+        return False
+    own = hashlib.new(name, payload).digest()
+    return value.upper().rstrip("=") != base64.b32encode(own).decode().rstrip("=") and value.lower() != own.hex()
+
+
 def header(page_id: int | None, url: str | None, kind: str, payload: bytes, refers_to: int | None) -> bytes:
     """Header block of a record; a revisit carries the digest and length of the full payload and no content."""
     clean = lambda x: re.sub(r"[\r\n]+", " ", x)
@@ -66,13 +80,14 @@ def header(page_id: int | None, url: str | None, kind: str, payload: bytes, refe
 
 def _check(data: bytes, at: int) -> tuple[Record, int] | str:
     """The record at ``at`` and where it ends, or what is wrong with it."""
-    if not data.startswith(VERSION, at):
+    version = _VERSION.match(data, at)
+    if not version:
         return "no version line"
     head = data.find(END, at)
     if head < 0:
         return "header without end"
-    block = data[at + len(VERSION) : head]
-    if VERSION in block:
+    block = data[version.end() : head]
+    if _VERSION.search(block):
         return "header runs into another record"
     length = _LENGTH.search(block)
     if not length:
@@ -83,7 +98,7 @@ def _check(data: bytes, at: int) -> tuple[Record, int] | str:
         return "length does not lead to a record's end"
     fields = {k.decode("latin-1").lower(): v.decode("utf-8", "replace") for k, v in _FIELD.findall(block)}
     payload = data[start:stop]
-    if fields.get("warc-type") != "revisit" and fields.get("warc-payload-digest", "").removeprefix("sha1:") not in ("", digest(payload)):
+    if fields.get("warc-type") != "revisit" and _differs(fields.get("warc-payload-digest", ""), payload):
         return "digest differs"
     return Record(at, fields, payload), stop + len(END)
 
@@ -95,8 +110,8 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         got = _check(data, at)
         if isinstance(got, str):
             bad, why = (at, got) if bad is None else (bad, why)
-            at = data.find(VERSION, at + 1)
-            at = len(data) if at < 0 else at
+            found = _VERSION.search(data, at + 1)
+            at = found.start() if found else len(data)
             continue
         if bad is not None:
             yield Gap(bad, at, why)
@@ -107,35 +122,43 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         yield Gap(bad, len(data), why)
 
 
-def salvage_members(data: bytes) -> Iterator[Record | Gap]:
-    """The same for an archive of gzip members (one record each, or several); gaps are in compressed bytes."""
+def _member(data: bytes, at: int) -> tuple[list[Record | Gap], int] | str:
+    """What the gzip member at ``at`` holds and where it ends, or what is wrong with it."""
+    member = zlib.decompressobj(31)
+    try:
+        raw = member.decompress(data[at:]) + member.flush()
+    except zlib.error as e:
+        return str(e)
+    if not member.eof:
+        return "member without end"
+    end = len(data) - len(member.unused_data)
+    return [x._replace(start=at) if isinstance(x, Record) else Gap(at, end, x.why) for x in salvage(raw)], end
+
+
+def read_archive(data: bytes) -> Iterator[Record | Gap]:
+    """Records of an archive, plain or of gzip members (one record each, or several), and the gaps between them, in byte order.
+
+    Offsets are bytes of the archive as it is stored. In a gap, a member that holds no record is part of it.
+    """
     at, bad, why = 0, None, ""
     while at < len(data):
-        member = zlib.decompressobj(31)
-        try:
-            raw = member.decompress(data[at:]) + member.flush()
-            if not member.eof:
-                raise zlib.error("member without end")
-            found = list(salvage(raw))
-        except zlib.error as e:
-            bad, why = (at, str(e)) if bad is None else (bad, why)
-            at = data.find(b"\x1f\x8b\x08", at + 1)
-            at = len(data) if at < 0 else at
+        got = _member(data, at) if data.startswith(_MAGIC, at) else _check(data, at)
+        if isinstance(got, tuple) and isinstance(got[0], Record):
+            got = [got[0]], got[1]
+        if isinstance(got, str) or (bad is not None and not any(isinstance(x, Record) for x in got[0])):
+            bad, why = (at, got) if bad is None else (bad, why)
+            found = _NEXT.search(data, at + 1)
+            at = found.start() if found else len(data)
             continue
         if bad is not None:
             yield Gap(bad, at, why)
             bad = None
-        end = len(data) - len(member.unused_data)
-        yield from (x._replace(start=at) if isinstance(x, Record) else Gap(at, end, x.why) for x in found)
-        at = end
+        yield from got[0]
+        at = got[1]
     if bad is not None:
         yield Gap(bad, len(data), why)
 
 
-def read_archive(data: bytes) -> Iterator[Record | Gap]:
-    return salvage_members(data) if data[:2] == b"\x1f\x8b" else salvage(data)
-
-
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -166,7 +189,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, compression: str =
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = lambda x: None if x is None or x.endswith("None>") else int(x.rpartition(":")[2].rstrip(">"))
+    number = lambda x: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?[0-9]+)>", x or "")) else None
     for batch in batches:
         out = []
         for name, content in zip(batch.column("path"), batch.column("content")):
