@@ -151,12 +151,12 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], t: str, values:
 
 def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], t: str, tolerance: float | None = None) -> DataFrame:
     """Each left row with the time of the nearest right row of its key (the earlier of two equally near)."""
-    w = Window.partitionBy(*keys).orderBy(t, "__side")
+    w, back = Window.partitionBy(*keys).orderBy(t, "__side"), Window.partitionBy(*keys).orderBy(F.desc(t), F.desc("__side"))
     a = left.withColumn("__side", F.lit(1)).withColumn("__t", F.lit(None).cast("double"))
     b = right.select(*keys, t).withColumn("__side", F.lit(0)).withColumn("__t", F.col(t))
     both = a.unionByName(b, allowMissingColumns=True)
     before = F.last("__t", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("__t", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    after = F.last("__t", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))  # a growing frame from the far end: linear
     both = both.withColumn("__b", before).withColumn("__a", after).where("__side = 1")
     near = F.when(F.col("__a").isNull() | (F.col(t) - F.col("__b") <= F.col("__a") - F.col(t)), F.col("__b")).otherwise(F.col("__a"))
     out = both.withColumn("nearest_t", near)

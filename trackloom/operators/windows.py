@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -104,3 +105,26 @@ def longest_circular_run(df: DataFrame, keys: Sequence[str], at: str, flag: str,
     lengths = twice.withColumn("__run", run).where(flag).groupBy(*keys, "__run").agg(F.min(at).alias("start"), F.least(F.count("*"), F.lit(size)).alias("length"))
     best = lengths.where(F.col("start") < size).groupBy(*keys).agg(F.max(F.struct("length", (-F.col("start")).alias("s"))).alias("m"))
     return best.select(*keys, (-F.col("m.s")).alias("start"), F.col("m.length").alias("length"))
+
+
+def ordered_scan(df: DataFrame, key: str, order: Sequence[str], scan: Callable, added: str) -> DataFrame:
+    """Adds columns ``added`` by ``scan(state, *row) -> (state, values)`` over each key's rows in order; the state of a new key is None.
+
+    For recursions that no window can express. Partitions are sorted and read as a stream of batches with the state carried along, so it is linear
+    and no key is held in memory. Nulls arrive as None or NaN.
+    """
+    at, names = df.columns.index(key), [*df.columns, *(c.split()[0] for c in added.split(","))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = state = None
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                if row[at] != held:
+                    held, state = row[at], None
+                state, values = scan(state, *row)
+                out.append((*row, *values))
+            yield pd.DataFrame(out, columns=names)
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, f"{kind}, {added}")
