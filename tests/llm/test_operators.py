@@ -176,20 +176,66 @@ def test_every_contained_item_is_found_and_no_other(spark, texts):
         assert sum(tuple(q[k : k + 5]) in seen for k in range(len(q) - 4)) >= 0.8 * (len(q) - 4)
 
 
-def test_block_max_scores_as_full_scoring():
-    rng = np.random.default_rng(1)
-    words = [b"w%d" % i for i in range(60)]
-    items = [(i, list(rng.choice(words, 12)), list(rng.choice(words, 6))) for i in range(37)]
-    index = decontam.Index(items)
-    ids = rng.integers(0, 61, 800).astype(np.int32)
-    got = {(s, e, i) for s, e, i, _ in index.retrieve(ids, np.array([300, 300, 800]))}
-    want = set()
-    for b, e in ((0, 300), (300, 800)):
-        for s in range(b, max(b + 1, e - index.longest), index.longest):
-            stop = min(s + 2 * index.longest, e)
-            score = index.score[np.unique(ids[s:stop])].sum(axis=0)
-            want |= {(s, stop, int(i)) for i in np.flatnonzero(score >= 1) if i < len(items)}
-    assert got == want and got
+def zipf_items(n, seed=1, vocabulary=4000):
+    rng = np.random.default_rng(seed)
+    words = [b"w%d" % i for i in range(vocabulary)]
+    draw = lambda k: [words[min(int(x), vocabulary) - 1] for x in rng.zipf(1.3, k)]
+    return rng, draw, [decontam.Item(i, draw(int(rng.integers(3, 90))), draw(int(rng.integers(1, 20)))) for i in range(n)]
+
+
+def slow_scores(items, passage):
+    """BM25 of every item over RECALL of its own, from the formula."""
+    n, average = len(items), sum(len(x.words) for x in items) / len(items)
+    df = Counter(w for x in items for w in set(x.words))
+    out = []
+    for x in items:
+        tf, length = Counter(x.words), len(x.words)
+        part = {w: math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * length / average)) for w, c in tf.items()}
+        out.append((sum(v for w, v in part.items() if w in passage), 0.6 * sum(part.values())))
+    return out
+
+
+def test_wand_as_full_scoring():
+    rng, draw, items = zipf_items(1500)
+    index = decontam.Index(items, decontam.counted(items))
+    hits = 0
+    for _ in range(12):
+        text = draw(150)
+        for k in rng.integers(0, len(items), 3):
+            text[20:20] = [w for w in items[k].words if rng.random() < 0.9]
+        ids = np.array([index.terms.get(w, 0) for w in text], np.int32)
+        slow = {}
+        for postings, names, _ in index.parts:
+            for start, stop, item, score in postings.retrieve(ids, np.array([len(ids)])):
+                if (start, stop) not in slow:
+                    slow[start, stop] = slow_scores(items, set(text[start:stop]))
+                own, least = slow[start, stop][names[item]]
+                assert score == pytest.approx(own, rel=1e-4) and own >= 0.999 * least
+            for start, stop in zip(*postings.passages(np.array([len(ids)]))):
+                got = {names[i] for s, e, i, _ in postings.retrieve(ids, np.array([len(ids)])) if s == start and e == stop}
+                every = slow_scores(items, set(text[start:stop]))
+                want = {k for k in names if every[k][0] >= 1.001 * every[k][1]}
+                assert want <= got
+                hits += len(want)
+    assert hits > 20
+
+
+def test_shards_change_nothing(spark):
+    rng, draw, items = zipf_items(60, seed=3, vocabulary=400)
+    text = lambda words: b" ".join(words).decode()
+    bench = spark.createDataFrame([(f"item {x.id}", text(x.question), text(x.answer)) for x in items], "item_id string, question string, answer string")
+    texts = [(k, text(draw(30) + items[k].words + draw(30) + (items[k + 1].words if k % 3 else []))) for k in range(50)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    one, many = (sorted(map(tuple, decontam.leaks(docs, bench, n).collect())) for n in (1 << 22, 1500))
+    assert [r[:2] for r in one] == [r[:2] for r in many] and np.allclose([r[2:] for r in one], [r[2:] for r in many], rtol=1e-4)
+    assert {(k, f"item {k}") for k in range(50)} <= {r[:2] for r in one}
+
+
+def test_one_very_long_item(spark):
+    long = " ".join(f"x{i}" for i in range(30_000))
+    bench = spark.createDataFrame([(1, long), (2, "a short question of ten words is asked here today\nyes")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so " + long + " it ends"), (2, "before a short question of ten words is asked here today yes after"), (3, "x1 x2 x3")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()) == [(1, 1), (2, 2)]
 
 
 def test_leaks_of_odd_tables(spark, odd):
