@@ -263,6 +263,36 @@ def test_languages_of_odd_tables(spark, odd):
     assert {r.lang_pred for r in langid.identify(lonely).where("doc_id = 1").collect()} == {"und"}
 
 
+def test_languages_as_brute_force_in_any_number_of_groups(spark, docs, texts):
+    import zstandard
+
+    learned = langid.dictionaries(docs.select("doc_id", "text", "lang"), 20, 4000)
+    assert len(learned) > 2 and all(len(v) <= 4000 for v in learned.values())
+    want = {}
+    for k, text in texts.items():
+        own = re.sub(r"\s+", " ", "".join(c if c.isalpha() or c == " " else " " for c in (text or "").lower()))
+        raw = [r.t for r in docs.where(F.col("doc_id") == k).select(langid.letters("text").alias("t")).collect()][0] if k < 40 else None
+        if raw is None or not own.strip():
+            continue
+        cost = {}
+        for lang, body in learned.items():
+            coder = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(body, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            cost[lang] = sum(len(coder.compress(raw.encode()[at : at + 4096])) for at in range(0, len(raw.encode()), 4096))
+        want[k] = min(cost, key=cost.get)
+    one, many = ({r.doc_id: (r.lang_pred, r.score, r.rejected) for r in langid.predict(docs.select("doc_id", "text"), learned, most).collect()} for most in (1 << 25, 4500))
+    assert one == many and len(langid.groups(learned, 4500)) > 2
+    assert {k: one[k][0] for k in want} == want and len(want) > 20
+
+
+def test_marks_are_no_letters_and_short_languages_are_learned(spark):
+    rows = [(0, "abc", "tiny"), (2, "\u0301\u0308", "en"), (3, "the words of this text " * 40, "en"), (4, "abc", None), (5, "", "none"), (6, "x" * 300_000 + " the words of this text" * 9, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = langid.dictionaries(docs.where("doc_id <> 2"))
+    assert set(learned) == {"tiny", "en"} and len(learned["tiny"]) >= 8
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs.select("doc_id", "text"), learned).collect()}
+    assert got[2] == got[5] == ("und", 0.0) and got[3][0] == "en"
+
+
 # --- quality ---------------------------------------------------------------------------------
 
 
