@@ -31,6 +31,8 @@ LEVEL = 5
 NARROW = 0.02
 #: Letters that one sampled text gives.
 PART = DICT_BYTES // 25
+#: Languages whose counts are broadcast (some 50 bytes each); those of more are joined by shuffle.
+FEW = 100_000
 #: Dictionaries that a task holds at once.
 MODEL_BYTES = 32 << 20
 
@@ -49,6 +51,8 @@ def dictionaries(labelled: DataFrame, sample: int = SAMPLE, size: int = DICT_BYT
     """
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text").withColumn("mark", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1))
     counts = rows.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n"))
+    if counts.limit(FEW + 1).count() <= FEW:  # a row a language: texts stay where they are
+        counts = F.broadcast(counts)
     rows = rows.join(counts, F.col("lang") == F.col("of")).where(F.col("mark") <= F.least(F.lit(1.0), (2.0 * sample + 100) / F.col("n")) * float(2**63))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("mark", "text"))
     own, part = letters("text"), size // 25
