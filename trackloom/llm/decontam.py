@@ -7,8 +7,10 @@ reaches ``RECALL`` of the score that its own text gets. Impacts are stored divid
 serves all items.
 
 The index holds postings sorted by (term, item) and, sparsely, the largest impact of each term in each block of ``BLOCK`` items. Passages whose
-summed term maxima stay under the threshold hold no item and end there. The others are searched by block-max WAND: cursors in the order of their items, the
-pivot where the maxima first reach the threshold, the block maxima at the pivot, then a jump or the exact score. All bounds are upper bounds.
+summed term maxima stay under the threshold hold no item and end there. For batches of the others the block maxima are summed from the
+block postings of their terms: blocks that stay under the threshold are dead to a passage. What is left is searched by block-max WAND: cursors in the
+order of their items, the pivot where the term maxima first reach the threshold, a jump over dead blocks, the block maxima of the cursors at the
+pivot, then a jump or the exact score. All bounds are upper bounds.
 
 Number of items, their mean length and document frequencies are taken once over the whole benchmark. The index goes to the tasks in
 shards of ``SHARD_BYTES`` of text (an item is never split), a pass over the texts for each; what is found depends neither on their number nor on their size.
@@ -40,12 +42,14 @@ K1, B = 1.2, 0.75
 RECALL = 0.6
 OVERLAP = 0.8
 SHINGLE = 5
-BLOCK = 32
+BLOCK = 8
 LEAST_STRIDE = 64
 #: Text of one shard's items; its index takes some ten times that.
 SHARD_BYTES = 4 << 20
 #: Rounding of sums of single-precision impacts: bounds are cut by this much.
 SLACK = 1e-4
+#: Cells and block postings that one batch of passages may take.
+CELLS = 1 << 21
 _SPACES = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 FOUND = "score double, question_overlap double, answer_overlap double"
 
@@ -128,6 +132,8 @@ class Postings:
         self.blocks = -(-self.n // BLOCK)
         bkey, first = np.unique(term * (self.blocks + 1) + doc // BLOCK, return_index=True)
         self.bkeys, self.bmax = bkey, np.maximum.reduceat(self.impact, first)
+        self.block = bkey % (self.blocks + 1)
+        self.bbegin = np.searchsorted(bkey // (self.blocks + 1), np.arange(len(idf) + 1))
         self.top = np.zeros(len(idf), np.float32)
         np.maximum.at(self.top, term, self.impact)
 
@@ -140,8 +146,8 @@ class Postings:
         done = place >= self.begin[terms + 1]
         return np.where(done, self.n, self.docs[np.minimum(place, len(self.docs) - 1)])
 
-    def wand(self, terms: np.ndarray) -> Iterator[tuple[int, float]]:
-        """(item, score over threshold) of all items whose postings of ``terms`` (distinct) sum up to the threshold."""
+    def wand(self, terms: np.ndarray, live: np.ndarray) -> Iterator[tuple[int, float]]:
+        """(item, score over threshold) of all items of ``live`` blocks whose postings of ``terms`` (distinct) sum up to the threshold."""
         terms = terms[self.top[terms] > 0]
         place, top = self.begin[terms].copy(), self.top[terms]
         doc = self.at(terms, place)
@@ -152,6 +158,15 @@ class Postings:
             if p == len(order) or doc[order[p]] == self.n:
                 return
             pivot = int(doc[order[p]])
+            alive = int(np.searchsorted(live, pivot // BLOCK))
+            if alive == len(live):
+                return
+            if live[alive] > pivot // BLOCK:
+                target = int(live[alive]) * BLOCK
+                within = np.flatnonzero(doc < target)
+                place[within] = self.seek(terms[within], target)
+                doc[within] = self.at(terms[within], place[within])
+                continue
             within = np.flatnonzero(doc <= pivot)
             block = terms[within] * (self.blocks + 1) + pivot // BLOCK
             b = np.minimum(np.searchsorted(self.bkeys, block), len(self.bkeys) - 1)
@@ -178,15 +193,37 @@ class Postings:
             begin = end
         return (np.concatenate(starts), np.concatenate(stops)) if starts else (np.zeros(0, np.int64),) * 2
 
+    def bounded(self, ids: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number, distinct terms, live blocks) of the passages with any; in batches of at most ``CELLS`` words, block postings and cells."""
+        weight = np.r_[0, np.cumsum((self.bbegin[1:] - self.bbegin[:-1])[ids])]
+        cost = np.maximum(weight[stop] - weight[start] + stop - start, self.blocks)
+        turn = np.cumsum(cost) // CELLS
+        for own in np.split(np.arange(len(start)), np.flatnonzero(np.diff(turn)) + 1):
+            size = stop[own] - start[own]
+            row = np.repeat(np.arange(len(own)), size)
+            pair = np.unique(row * len(self.top) + ids[_ranges(start[own], size)])  # a query term counts once
+            row, term = pair // len(self.top), pair % len(self.top)
+            size = self.bbegin[term + 1] - self.bbegin[term]
+            at = _ranges(self.bbegin[term], size)
+            bound = np.bincount(np.repeat(row, size) * self.blocks + self.block[at], self.bmax[at], len(own) * self.blocks).reshape(len(own), self.blocks)
+            first = np.searchsorted(row, np.arange(len(own) + 1))
+            for k in np.flatnonzero((bound >= 1 - SLACK).any(axis=1)).tolist():
+                yield int(own[k]), term[first[k] : first[k + 1]], np.flatnonzero(bound[k] >= 1 - SLACK)
+
     def retrieve(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """(start, end, item, score) of every passage and item over the threshold."""
         start, stop = self.passages(ends)
         total = np.r_[0.0, np.cumsum(self.top[ids], dtype=np.float64)]
-        for k in np.flatnonzero(total[stop] - total[start] >= 1 - SLACK):
-            terms = np.unique(ids[start[k] : stop[k]]).astype(np.int64)  # a query term counts once
-            if self.top[terms].sum() >= 1 - SLACK:
-                for item, score in self.wand(terms):
-                    yield int(start[k]), int(stop[k]), item, score * float(self.least[item])
+        kept = np.flatnonzero(total[stop] - total[start] >= 1 - SLACK)
+        start, stop = start[kept], stop[kept]
+        for k, terms, live in self.bounded(ids, start, stop) if len(kept) else ():
+            for item, score in self.wand(terms, live):
+                yield int(start[k]), int(stop[k]), item, score * float(self.least[item])
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All of start, start + 1, ... of each size, one after another."""
+    return np.arange(int(size.sum())) + np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size)
 
 
 class Index:
