@@ -39,6 +39,33 @@ def test_older_version_and_other_digests(compressed):
     assert got == [BODY[0], BODY[1], BODY[1], BODY[1], BODY[2]] and len(gaps) == 1
 
 
-def test_foreign_record_ids_are_read(spark, tmp_path):
-    (tmp_path / "a.warc").write_bytes(PARTS[0].replace(b"<urn:page:0>", b"<urn:uuid:0c5f-9a>") + PARTS[1])
-    assert sorted((r.page_id or 0, bytes(r.payload)) for r in warc.read(spark, str(tmp_path)).collect()) == [(0, BODY[0]), (1, BODY[1])]
+def foreign(block, kind="response", mime="application/http; msgtype=response", **fields):
+    head = [b"WARC/1.0", b"WARC-Type: " + kind.encode(), b"WARC-Record-ID: <urn:uuid:0c5f-9a>", b"Content-Type: " + mime.encode(), *(k.replace("_", "-").encode() + b": " + v for k, v in fields.items()), b"Content-Length: %d" % len(block)]
+    return b"\r\n".join(head) + warc.END + block + warc.END
+
+
+def test_records_of_other_writers(spark, tmp_path):
+    body = b"<html>x</html>"
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html" + warc.END + body
+    sha1 = lambda x: b"sha1:" + base64.b32encode(hashlib.sha1(x).digest())
+    chunked = block.replace(b"OK", b"OK\r\nTransfer-Encoding: chunked")
+    good = [foreign(b"software: x", "warcinfo", "application/warc-fields"), foreign(block, WARC_Payload_Digest=sha1(body), WARC_Block_Digest=sha1(block)), foreign(chunked, WARC_Payload_Digest=sha1(b"decoded"))]
+    bad = [foreign(block, WARC_Payload_Digest=sha1(b"other")), foreign(block, WARC_Block_Digest=sha1(body)), foreign(b"x", "resource", "text/plain", WARC_Payload_Length=b"9")]
+    got, gaps = records(b"".join(map(gzip.compress, [*good, *bad, PARTS[1]])))
+    assert got == [b"software: x", body, body, BODY[1]] and len(gaps) == 3
+    (tmp_path / "a.warc").write_bytes(b"".join(good) + PARTS[1])
+    found = [(r.record_id, bytes(r.payload), r.payload_bytes) for r in warc.read(spark, str(tmp_path)).orderBy("start").collect()]
+    assert found == [("urn:uuid:0c5f-9a", x, len(x)) for x in got[:3]] + [("urn:page:1", BODY[1], len(BODY[1]))]
+
+
+def test_many_members_take_linear_time():
+    import os
+    import time
+
+    def spent(n):
+        data = b"".join(gzip.compress(warc.header(i, "u", "response", b, None) + b + warc.END, 1) for i in range(n) for b in [os.urandom(30_000)])
+        began = time.perf_counter()
+        assert len(records(data)[0]) == n
+        return time.perf_counter() - began
+
+    assert spent(2000) < max(6.0, 12 * spent(400))

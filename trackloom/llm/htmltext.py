@@ -34,7 +34,8 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template svg math".split())
 _BLOCK = frozenset(
@@ -65,16 +66,14 @@ def _unwanted(tag: str, raw: str) -> tuple[bool, bool]:
         return True, False
     if not raw or tag in ("html", "body"):
         return False, False
-    named = False
+    own: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(raw):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "role" and value.strip().lower() in _OUT_ROLES:
-            return True, False
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True, False
-        if name in ("class", "id") and tag not in _KEPT and any(w in _OUT_WORDS for w in value.lower().split()):
-            named = True
-    return False, named
+        if m[1]:  # the first of repeated attributes counts
+            own.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    if own.get("role", "").strip().lower() in _OUT_ROLES or "hidden" in own or own.get("aria-hidden", "").strip().lower() == "true" or _HIDDEN.search(own.get("style", "")):
+        return True, False
+    names = f"{own.get('class', '')} {own.get('id', '')}".lower().split()
+    return False, tag not in _KEPT and any(w in _OUT_WORDS for w in names)
 
 
 class Tree:

@@ -27,6 +27,7 @@ _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MAGIC = b"\x1f\x8b\x08"
 _NEXT = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 END = b"\r\n\r\n"
+STEP = 1 << 16
 DATE = "2020-01-01T00:00:00Z"
 RECORDS_IN_FILE = 1000
 #: Repeated digests up to this many are broadcast (about 100 bytes each); more are joined by shuffle.
@@ -97,9 +98,17 @@ def _check(data: bytes, at: int) -> tuple[Record, int] | str:
     if data[stop : stop + len(END)] != END:
         return "length does not lead to a record's end"
     fields = {k.decode("latin-1").lower(): v.decode("utf-8", "replace") for k, v in _FIELD.findall(block)}
-    payload = data[start:stop]
-    if fields.get("warc-type") != "revisit" and _differs(fields.get("warc-payload-digest", ""), payload):
+    payload, coded = data[start:stop], False
+    if _differs(fields.get("warc-block-digest", ""), payload):
         return "digest differs"
+    if fields.get("content-type", "").lower().startswith("application/http"):  # the payload is the message's body
+        top, _, payload = payload.partition(END)
+        coded = b"transfer-encoding:" in top.lower()  # digests of such bodies are taken before or after decoding
+    if fields.get("warc-type") != "revisit":
+        if not coded and _differs(fields.get("warc-payload-digest", ""), payload):
+            return "digest differs"
+        if fields.get("warc-payload-length", str(len(payload))) != str(len(payload)):
+            return "payload length differs"
     return Record(at, fields, payload), stop + len(END)
 
 
@@ -123,16 +132,19 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
 
 
 def _member(data: bytes, at: int) -> tuple[list[Record | Gap], int] | str:
-    """What the gzip member at ``at`` holds and where it ends, or what is wrong with it."""
-    member = zlib.decompressobj(31)
+    """What the gzip member at ``at`` holds and where it ends, or what is wrong with it. Read in steps of ``STEP`` bytes, so that many members cost no more than their bytes."""
+    member, view, raw, end = zlib.decompressobj(31), memoryview(data), [], at
     try:
-        raw = member.decompress(data[at:]) + member.flush()
+        while not member.eof and end < len(data):
+            raw.append(member.decompress(view[end : end + STEP]))
+            end = min(end + STEP, len(data))
+        raw.append(member.flush())
     except zlib.error as e:
         return str(e)
     if not member.eof:
         return "member without end"
-    end = len(data) - len(member.unused_data)
-    return [x._replace(start=at) if isinstance(x, Record) else Gap(at, end, x.why) for x in salvage(raw)], end
+    end -= len(member.unused_data)
+    return [x._replace(start=at) if isinstance(x, Record) else Gap(at, end, x.why) for x in salvage(b"".join(raw))], end
 
 
 def read_archive(data: bytes) -> Iterator[Record | Gap]:
@@ -188,8 +200,18 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, compression: str =
     lines.write.option("lineSep", END.decode()).option("maxRecordsPerFile", records).option("compression", compression).text(path)
 
 
+def _id(uri: str | None) -> str | None:
+    """A record's id without its angle brackets."""
+    return uri.strip().removeprefix("<").removesuffix(">") if uri else None
+
+
+def _length(x: Record) -> int:
+    """Bytes of the full payload: a revisit names them."""
+    named = x.fields.get("warc-payload-length", "")
+    return int(named) if re.fullmatch(r"[0-9]{1,18}", named) else len(x.payload)
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = lambda x: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?[0-9]+)>", x or "")) else None
     for batch in batches:
         out = []
         for name, content in zip(batch.column("path"), batch.column("content")):
@@ -198,18 +220,21 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out.append((name.as_py(), "gap", x.start, x.end, x.why, None, None, None, None, None, None))
                 else:
                     f = x.fields
-                    out.append((name.as_py(), f.get("warc-type"), x.start, None, None, number(f.get("warc-record-id")), f.get("warc-target-uri"), int(f.get("warc-payload-length", len(x.payload))), f.get("warc-payload-digest", "").removeprefix("sha1:"), number(f.get("warc-refers-to")), x.payload))
-        names = ["path", "record_type", "start", "end", "why", "page_id", "url", "payload_bytes", "payload_digest", "refers_to", "payload"]
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+                    out.append((name.as_py(), f.get("warc-type"), x.start, None, None, _id(f.get("warc-record-id")), f.get("warc-target-uri"), _length(x), f.get("warc-payload-digest", "").removeprefix("sha1:"), _id(f.get("warc-refers-to")), x.payload))
+        names = ["path", "record_type", "start", "end", "why", "record_id", "url", "payload_bytes", "payload_digest", "refers_to", "payload"]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
         cols = list(zip(*out)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
 
-READ_SCHEMA = "path string, record_type string, start long, end long, why string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary"
+READ_SCHEMA = "path string, record_type string, start long, end long, why string, record_id string, url string, payload_bytes long, payload_digest string, refers_to string, payload binary"
 
 
 def read(spark, path: str) -> DataFrame:
-    """Every record of the archives below ``path``, and a row of type ``gap`` for each quarantined byte range."""
+    """Every record of the archives below ``path``, and a row of type ``gap`` for each quarantined byte range.
+
+    Ids stay as they are written (``urn:page:7``, ``urn:uuid:...``). An archive is one value, so of 2 GB at most.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(_read, READ_SCHEMA)
 
@@ -224,7 +249,10 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc")
     write(pages, at := scratch.path("archives"), scratch=scratch)
-    out = read(spark, at).where("record_type <> 'gap'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    sound = F.when(F.col("record_type") != "gap", True).otherwise(F.raise_error(F.concat(F.lit("a gap in an archive just written: "), "why")).cast("boolean"))
+    kind = pages.schema["page_id"].dataType
+    page = lambda c: F.regexp_extract(c, "^urn:page:(.*)$", 1).try_cast(kind)
+    out = read(spark, at).where(sound).select(page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page(F.col("refers_to")).alias("refers_to"))
     out = scratch.keep(out, "out")
     scratch.clear(out)
     return out
