@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import math
+import random
 import re
 import sys
 from collections import Counter, defaultdict
@@ -317,66 +318,16 @@ def test_base_counts(texts):
         assert quality.base(t) == slow_base(t)
 
 
-def slow_kneser_ney(tables, gram, order):
-    """Modified Kneser-Ney probability of the last class of ``gram``, from dictionaries."""
-    if order == 0:
-        return 1 / 128
-    c = tables[order]
-    n = [sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]
-    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0
-    d = [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0), i) if n[i - 1] else 0 for i in (1, 2, 3)]
-    cut = lambda v: d[min(v, 3) - 1]
-    head = {g: v for g, v in c.items() if g[:-1] == gram[:-1]}
-    lower = slow_kneser_ney(tables, gram[1:], order - 1)
-    if not head:
-        return lower
-    total = sum(head.values())
-    own = max(c[gram] - cut(c[gram]), 0) if gram in c else 0
-    return own / total + sum(map(cut, head.values())) / total * lower
-
-
-def test_model_is_modified_kneser_ney():
-    texts = ["abracadabra", "a cab", "bad dab!", "ab ab ab"]
-    key, n = np.unique(quality.packed(texts, 3)[0], return_counts=True)
-    model = quality.Model(key, n, 3)
-    split = lambda k: tuple(int(k) >> (7 * i) & 127 for i in (2, 1, 0))
-    tables = {3: {split(k): int(v) for k, v in zip(key, n)}}
-    for k in (2, 1):
-        tables[k] = Counter(g[1:] for g in tables[k + 1])
-    probe = np.concatenate([key, quality.packed(["xyz cab dad"], 3)[0]])
-    want = [math.log(slow_kneser_ney(tables, split(k), 3)) for k in probe]
-    assert model.logp(probe) == pytest.approx(want, abs=1e-4)
-    assert all(np.all(np.diff(t[0].astype(object)) > 0) for t in model.tables)
-
-
-def test_spark_counts_all_ngrams(spark, docs, texts):
-    got = {(r.lang, r.gram): r.n for r in quality.ngrams(docs).collect()}
-    want = Counter()
-    for r in docs.collect():
-        if r.text:
-            for k in quality.packed([r.text], quality.ORDER)[0].tolist():
-                want[(r.lang if r.lang is not None else quality._NONE, k)] += 1
-    assert got == want
-
-
 def test_quality_query_keeps_the_good(spark):
     sf = "/root/testdata/sf0.01"
     got = registry.op5_quality(spark, sf)
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    r = {x.quality: x for x in got.join(labels, "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()}
-    assert r[1].kept >= 0.98 and r[0].kept < 0.7
+    r = {x.quality: x for x in got.join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("kept")).collect()}
+    base = got.join(labels, "doc_id").where("quality = 1 and not base_failed").agg(F.avg(F.col("kept").cast("double"))).first()[0]
+    assert base >= 0.98 and r[1].kept >= 0.95 and r[0].kept < 1 / 3
     assert {r.doc_id: tuple(r)[1:7] for r in got.collect()} == {r.doc_id: slow_base(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
 
 
-def test_groups_of_models_score_like_one(spark, docs):
-    rows, scratch = docs.select(F.col("doc_id").alias("id"), "lang", "text"), Scratch(spark, "q")
-    grams = scratch.keep(quality.ngrams(docs), "grams")
-    most = grams.groupBy("lang").count().agg(F.max("count")).first()[0]
-    assert len(quality.shards(grams, most)) > 1 == len(quality.shards(grams)) and quality.shards(grams, 5)[0][0][1] == 3
-    one, many = (sorted(map(str, quality.scores(rows, grams, scratch, m).collect())) for m in (quality.MOST_NGRAMS, most))
-    assert one == many
-
-
 def test_quality_of_odd_tables(spark, odd):
     df = odd.select(F.col("doc_id").alias("id"), "lang", "text")
     assert quality.assess(df).count() == len(ODD) and quality.assess(df.limit(0)).count() == 0
@@ -398,7 +349,7 @@ def slow_spans(text):
     return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0]), s[2]))
 
 
-CASES = ["a@b.c@d.e f@g", "x@y.z.w..q", "mail é.b+c@d-e.f.", "1.2.3.4.5.6.7.8 300.1.1.1 001.2.3.4", "4111 1111 1111 1111-1111", "4111-1111-1111-1111", "+1 (974) 555-3436. +49 30", "+1+1 234 567 8901", "@@a@b.c", "9" * 50, "", "a@b", "+12345678901234567"]
+CASES = ["a@b.c@d.e f@g", "x@y.z.w..q", "mail é.b+c@d-e.f.", "1.2.3.4.5.6.7.8 300.1.1.1 001.2.3.4", "4111 1111 1111 1111-1111", "4111-1111-1111-1111", "+1 (974) 555-3436. +49 30", "+1+1 234 567 8901", "@@a@b.c", "1.2.3." + "0" * 4100 + "4", "0.0.0.0", "1.2.3." + "0" * 4100 + "256", "9" * 50, "", "a@b", "+12345678901234567"]
 
 
 def test_base_spans_as_the_patterns(texts):
@@ -416,7 +367,7 @@ def test_gradients_are_right():
     ids, gold = rng.integers(0, pii.CLASSES, (3, 7)), rng.integers(0, pii.TAGS, (3, 7))
     tagger.p = {k: v.astype(np.float64) for k, v in tagger.p.items()}
     _, grad = tagger.gradients(ids, gold)
-    for name in ("emb", "wxf", "whf", "bb", "whb", "out", "trans"):
+    for name in ("emb", "wx", "wh", "b", "out", "trans"):
         flat = tagger.p[name].reshape(-1)
         k = int(np.abs(grad[name]).reshape(-1).argmax())
         old, step = flat[k], 1e-3
@@ -429,7 +380,7 @@ def test_gradients_are_right():
 
 
 def test_network_on_held_out_sentences():
-    rng, tagger = np.random.default_rng(4321), pii.trained()
+    rng, tagger = random.Random(4321), pii.trained()
     hit = extra = missed = 0
     for _ in range(300):
         text, spans = pii._sentence(rng)
@@ -448,6 +399,45 @@ def test_windows_are_reconciled_whatever_the_offset():
         assert [text[a:b] for k, a, b in every if k == "phone"] == ["(974) 555-3436"], shift
 
 
+#: Written by hand, not by the generator: (text, spans that the rules alone do not find).
+BY_HAND = [
+    ("Write to mary (at) corp (dot) org before noon.", ["mary (at) corp (dot) org"]),
+    ("You can reach our desk at 212-555-0187 on weekdays, says the note.", ["212-555-0187"]),
+    ("the office line is (415) 555-2671, ask for Jo", ["(415) 555-2671"]),
+    ("contact: peter.olsen [at] nordlys [dot] net, please", ["peter.olsen [at] nordlys [dot] net"]),
+    ("Fax 646.555.0102 still works.", ["646.555.0102"]),
+    ("My card, 4929 1234 5678 9012, was lost on Monday.", ["4929 1234 5678 9012"]),
+    ("send it to lena[at]example.org as soon as you can", ["lena[at]example.org"]),
+    ("Dial 0049 30 901820 from abroad and wait.", ["0049 30 901820"]),
+    ("In 1987 they sold 12,500 units at 3.50 each, version 2.14.1 of the plan.", []),
+    ("The train leaves at 10:45 from platform 9, room 1204/1205.", []),
+    ("ISO 9001 was met on 2019-04-12, see section 4.2.1 and figure 17.", []),
+]
+
+
+def test_network_on_lines_by_hand():
+    tagger, hit, missed, extra = pii.trained(), 0, 0, 0
+    for text, want in BY_HAND:
+        base, every = next(pii.find([text], tagger))
+        got = {text[a:b] for k, a, b in set(every) - set(base)}
+        hit, missed, extra = hit + len(got & set(want)), missed + len(set(want) - got), extra + len(got - set(want))
+    assert hit >= 6 and extra <= 2, (hit, missed, extra)
+
+
+def test_weights_are_trained_once_for_a_shared_folder(spark, monkeypatch):
+    first = pii.weights(spark)
+    monkeypatch.setattr(pii, "trained", None)
+    again = pii.weights(spark)
+    assert first.keys() == again.keys() and all(np.array_equal(first[k], again[k]) for k in first)
+
+
+def test_very_long_text_and_spans_beyond_a_window():
+    tagger, long = pii.trained(), "x" * 90 + "@" + "y" * 90 + ".com"
+    text = "lorem ipsum " * 40_000 + long + " and 212-555-0187 there " + "dolor sit " * 40_000
+    base, every = next(pii.find([text], tagger))
+    assert [text[a:b] for _, a, b in base] == [long] and "212-555-0187" in [text[a:b] for _, a, b in every]
+
+
 def test_pii_query_and_odd_tables(spark, odd, texts):
     got = {r.doc_id: r for r in registry.op6_pii(spark, SF).collect()}
     for d, t in texts.items():

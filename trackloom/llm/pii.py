@@ -2,7 +2,7 @@
 
 The network (embedding, forward and backward LSTM, linear layer, CRF) is written and trained in numpy, from
 labelled spans in generated sentences: the base formats and ways in which people hide or shorten them. Training
-is seeded and takes some seconds on the driver, once a process; the weights (some tens of kilobytes) go to the tasks.
+is seeded and takes some seconds on the driver, once for a shared folder, where the weights (some tens of kilobytes) stay; they go to the tasks.
 
 Every whole text is scanned. Kinds that the network knows hold a digit, an ``@`` or a bracketed "at", so
 windows of ``WINDOW`` characters are laid every ``STEP`` characters, all that hold a mark and no others; "at" signs also
@@ -17,14 +17,17 @@ Null text is empty: no spans. Repeated rows are answered each. Very long texts a
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from trackloom.llm.common import shared_dir
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -63,7 +66,7 @@ def base_spans(text: str) -> list[Span]:
     """Base spans by start, then kind as listed."""
     out = list(_emails(text))
     if _DIGIT.search(text):
-        small = lambda part: len(part.lstrip("0")) <= 3 and int(part) <= 255 if len(part) < 4000 else False
+        small = lambda part: len(own := part.lstrip("0")) <= 3 and int(own or 0) <= 255
         out += [("ip", *m.span()) for m in _IP.finditer(text) if all(map(small, m[0].split(".")))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() <= 40:
@@ -102,17 +105,17 @@ def encode(text: str) -> np.ndarray:
     return np.where(cp < 128, _TABLE[np.minimum(cp, 127)], CLASSES - 1)
 
 
-def _sentence(rng: np.random.Generator) -> tuple[str, list[Span]]:
+def _sentence(rng: random.Random) -> tuple[str, list[Span]]:
     """A line of invented words around one or two labelled spans or harmless numbers."""
-    pick = lambda x: x[int(rng.integers(len(x)))]
-    digits = lambda n: "".join(str(d) for d in rng.integers(0, 10, n))
+    pick = rng.choice
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
     letters = "eeeaaoiinnttrrsslldhcumpgbfwyvkxzjq"
-    word = lambda: "".join(pick(letters) for _ in range(int(rng.integers(2, 9))))
+    word = lambda: "".join(rng.choices(letters, k=rng.randrange(2, 9)))
     text, spans = "", []
 
     def filler() -> None:
         nonlocal text
-        for _ in range(int(rng.integers(1, 5))):
+        for _ in range(rng.randrange(1, 5)):
             w = word()
             w = w.upper() if rng.random() < 0.1 else w.capitalize() if rng.random() < 0.15 else w
             w = "é" + w if rng.random() < 0.05 else w
@@ -128,7 +131,7 @@ def _sentence(rng: np.random.Generator) -> tuple[str, list[Span]]:
             a, d = pick([(" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", "."), ("[at]", "."), (" @ ", "."), (" {at} ", " {dot} "), (" <at> ", ".")])
             return "email", f"{word()}{a}{host}{d}{pick(['com', 'org', 'net'])}"
         if r < 0.36:
-            return "ip", ".".join(str(int(x)) for x in rng.integers(0, 256, 4))
+            return "ip", ".".join(str(rng.randrange(256)) for _ in range(4))
         if r < 0.50:
             sep = pick([" ", "-"])
             return "card", sep.join(digits(4) for _ in range(4)) if rng.random() < 0.8 else f"{digits(4)}{sep}{digits(6)}{sep}{digits(5)}"
@@ -136,12 +139,12 @@ def _sentence(rng: np.random.Generator) -> tuple[str, list[Span]]:
             a, b, c = digits(3), digits(3), digits(4)
             return "phone", pick([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{digits(2)} {a} {b} {c}", f"+1-{a}-{b}-{c}", f"00{digits(2)} {a} {b}{c}", f"+{digits(2)}{a}{b}{c}"])
         return None, pick([
-            digits(int(rng.integers(1, 6))), digits(16), digits(int(rng.integers(6, 14))), f"{digits(1)}.{digits(1)}", f"19{digits(2)}-0{digits(1)}-1{digits(1)}", f"version {digits(1)}.{digits(2)}.{digits(1)}",
-            f"{digits(2)}:{digits(2)}", f"token = {''.join(pick('0123456789abcdef') for _ in range(40))}", f"{digits(1)},{digits(3)},{digits(3)}", f"{word()}{digits(3)}", f"@{word()}", "at", f"§ {digits(3)}-{digits(2)}", f"{digits(4)}/{digits(4)}",
+            digits(rng.randrange(1, 6)), digits(16), digits(rng.randrange(6, 14)), f"{digits(1)}.{digits(1)}", f"19{digits(2)}-0{digits(1)}-1{digits(1)}", f"version {digits(1)}.{digits(2)}.{digits(1)}",
+            f"{digits(2)}:{digits(2)}", f"token = {''.join(rng.choices('0123456789abcdef', k=40))}", f"{digits(1)},{digits(3)},{digits(3)}", f"{word()}{digits(3)}", f"@{word()}", "at", f"§ {digits(3)}-{digits(2)}", f"{digits(4)}/{digits(4)}",
             f"{digits(16)} {digits(16)}",
         ])
 
-    for _ in range(int(rng.integers(1, 3))):
+    for _ in range(rng.randrange(1, 3)):
         filler()
         kind, value = item()
         if kind:
@@ -184,37 +187,40 @@ class Tagger:
         rng = np.random.default_rng(seed)
         init = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         self.p = {"emb": init(CLASSES, EMBED) * 3, "out": init(2 * HIDDEN, TAGS), "bias": np.zeros(TAGS, np.float32), "trans": np.zeros((TAGS, TAGS), np.float32)}
-        for d in "fb":
-            bias = np.zeros(4 * HIDDEN, np.float32)
-            bias[HIDDEN : 2 * HIDDEN] = 1
-            self.p |= {f"wx{d}": init(EMBED, 4 * HIDDEN), f"wh{d}": init(HIDDEN, 4 * HIDDEN), f"b{d}": bias}
-
-    def _lstm(self, x: np.ndarray, d: str, keep: list | None) -> np.ndarray:
-        """x: (time, rows, embed). Gates in the order input, forget, output, cell."""
-        p, (steps, rows, _) = self.p, x.shape
-        xw = x @ p[f"wx{d}"] + p[f"b{d}"]
+        # of both directions, stacked; gates in the order input, forget, output, cell
+        bias = np.zeros((2, 1, 4 * HIDDEN), np.float32)
+        bias[:, :, HIDDEN : 2 * HIDDEN] = 1
+        self.p |= {"wx": np.stack([init(EMBED, 4 * HIDDEN) for _ in "fb"]), "wh": np.stack([init(HIDDEN, 4 * HIDDEN) for _ in "fb"]), "b": bias}
+
+    def _lstm(self, x: np.ndarray, keep: list | None) -> np.ndarray:
+        """x: (direction, time, rows, embed), the second direction's time reversed; one step serves both."""
+        p, (_, steps, rows, _) = self.p, x.shape
+        xw = x @ p["wx"][:, None] + p["b"][:, None]
         scale = np.repeat(np.array([0.5, 0.5, 0.5, 1], np.float32), HIDDEN)
-        h = c = np.zeros((rows, HIDDEN), np.float32)
-        out = np.empty((steps, rows, HIDDEN), np.float32)
-        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            g = np.tanh((xw[t] + h @ p[f"wh{d}"]) * scale)
-            i, f, o = (0.5 * g[:, k * HIDDEN : (k + 1) * HIDDEN] + 0.5 for k in range(3))
-            z, old_c, old_h = g[:, 3 * HIDDEN :], c, h
+        h = c = np.zeros((2, rows, HIDDEN), np.float32)
+        out = np.empty((2, steps, rows, HIDDEN), np.float32)
+        for t in range(steps):
+            g = np.tanh((xw[:, t] + h @ p["wh"]) * scale)
+            gates = 0.5 * g[:, :, : 3 * HIDDEN] + 0.5
+            i, f, o = (gates[:, :, k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
+            z, old_c, old_h = g[:, :, 3 * HIDDEN :], c, h
             c = f * old_c + i * z
             th = np.tanh(c)
             h = o * th
-            out[t] = h
+            out[:, t] = h
             if keep is not None:
-                keep.append((t, i, f, o, z, old_c, old_h, th))
+                keep.append((i, f, o, z, old_c, old_h, th))
         return out
 
     def scores(self, ids: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """(time, rows, tags) of windows (rows, time)."""
-        x = self.p["emb"][ids.T]
-        kf, kb = ([], []) if keep is not None else (None, None)
-        h = np.concatenate([self._lstm(x, "f", kf), self._lstm(x, "b", kb)], axis=2)
+        one = self.p["emb"][ids.T]
+        x = np.stack([one, one[::-1]])
+        steps = [] if keep is not None else None
+        both = self._lstm(x, steps)
+        h = np.concatenate([both[0], both[1, ::-1]], axis=2)
         if keep is not None:
-            keep |= {"x": x, "h": h, "f": kf, "b": kb}
+            keep |= {"x": x, "h": h, "steps": steps}
         return h @ self.p["out"] + self.p["bias"]
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
@@ -253,36 +259,39 @@ class Tagger:
         np.add.at(dtrans, (g[:-1], g[1:]), -1.0)
         ds[np.arange(steps)[:, None], r, g] -= 1
         ds = (ds / rows).astype(np.float32)
-        out = {"trans": (dtrans / rows).astype(np.float32), "out": np.einsum("trh,trk->hk", keep["h"], ds), "bias": ds.sum(axis=(0, 1))}
-        dh_all, dx = ds @ p["out"].T, np.zeros_like(keep["x"])
-        for d, part in (("f", dh_all[:, :, :HIDDEN]), ("b", dh_all[:, :, HIDDEN:])):
-            dh_next, dc = np.zeros((rows, HIDDEN), np.float32), np.zeros((rows, HIDDEN), np.float32)
-            dwh, dg_all = np.zeros_like(p[f"wh{d}"]), np.empty((steps, rows, 4 * HIDDEN), np.float32)
-            for t, i, f, o, zc, old_c, old_h, th in reversed(keep[d]):
-                dh = part[t] + dh_next
-                dc = dc + dh * o * (1 - th * th)
-                dg = dg_all[t]
-                dg[:, :HIDDEN] = dc * zc * i * (1 - i)
-                dg[:, HIDDEN : 2 * HIDDEN] = dc * old_c * f * (1 - f)
-                dg[:, 2 * HIDDEN : 3 * HIDDEN] = dh * th * o * (1 - o)
-                dg[:, 3 * HIDDEN :] = dc * i * (1 - zc * zc)
-                dwh += old_h.T @ dg
-                dh_next, dc = dg @ p[f"wh{d}"].T, dc * f
-            out |= {f"wh{d}": dwh, f"b{d}": dg_all.sum(axis=(0, 1)), f"wx{d}": np.einsum("tre,trg->eg", keep["x"], dg_all)}
-            dx += dg_all @ p[f"wx{d}"].T
+        out = {"trans": (dtrans / rows).astype(np.float32), "out": keep["h"].reshape(-1, 2 * HIDDEN).T @ ds.reshape(-1, TAGS), "bias": ds.sum(axis=(0, 1))}
+        dh_all = ds @ p["out"].T
+        part = np.stack([dh_all[:, :, :HIDDEN], dh_all[::-1, :, HIDDEN:]])
+        dh_next, dc = np.zeros((2, rows, HIDDEN), np.float32), np.zeros((2, rows, HIDDEN), np.float32)
+        dwh, dg_all = np.zeros_like(p["wh"]), np.empty((2, steps, rows, 4 * HIDDEN), np.float32)
+        back = p["wh"].transpose(0, 2, 1)
+        for t in range(steps - 1, -1, -1):
+            i, f, o, zc, old_c, old_h, th = keep["steps"][t]
+            dh = part[:, t] + dh_next
+            dc = dc + dh * o * (1 - th * th)
+            dg = dg_all[:, t]
+            dg[:, :, :HIDDEN] = dc * zc * i * (1 - i)
+            dg[:, :, HIDDEN : 2 * HIDDEN] = dc * old_c * f * (1 - f)
+            dg[:, :, 2 * HIDDEN : 3 * HIDDEN] = dh * th * o * (1 - o)
+            dg[:, :, 3 * HIDDEN :] = dc * i * (1 - zc * zc)
+            dwh += old_h.transpose(0, 2, 1) @ dg
+            dh_next, dc = dg @ back, dc * f
+        out |= {"wh": dwh, "b": dg_all.sum(axis=(1, 2))[:, None], "wx": keep["x"].reshape(2, -1, EMBED).transpose(0, 2, 1) @ dg_all.reshape(2, -1, 4 * HIDDEN)}
+        dx = dg_all @ p["wx"].transpose(0, 2, 1)[:, None]
+        dx = dx[0] + dx[1, ::-1]
         out["emb"] = np.zeros_like(p["emb"])
         np.add.at(out["emb"], ids.T, dx)
         return float((z.sum() - path) / rows), out
 
     def fit(self, steps: int = 260, rows: int = 96, seed: int = 11, rate: float = 0.015) -> Tagger:
         """Adam on freshly generated sentences, cut to windows at random offsets."""
-        rng = np.random.default_rng(seed)
+        rng = random.Random(seed)
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         for step in range(1, steps + 1):
             ids, gold = np.zeros((rows, WINDOW), np.int64), np.zeros((rows, WINDOW), np.int64)
             for r in range(rows):
                 text, spans = _sentence(rng)
-                at = int(rng.integers(0, max(1, len(text) - WINDOW + 1)))
+                at = rng.randrange(max(1, len(text) - WINDOW + 1))
                 part, own = encode(text)[at : at + WINDOW], tags(len(text), spans)[at : at + WINDOW]
                 ids[r, : len(part)], gold[r, : len(own)] = part, own
             _, grad = self.gradients(ids, gold)
@@ -301,6 +310,20 @@ def trained() -> Tagger:
     return Tagger().fit()
 
 
+def weights(spark: SparkSession) -> dict[str, np.ndarray]:
+    """The trained arrays: from the shared folder if this version's are there, else trained and left there for later sessions."""
+    own = hashlib.sha256(Path(__file__).read_bytes() + np.__version__.encode()).hexdigest()[:16]
+    path, jvm = f"{shared_dir(spark)}/pii-weights-{own}", spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        rows = spark.read.schema("name string, shape array<int>, body binary").parquet(path).collect()
+        return {r.name: np.frombuffer(bytes(r.body), np.float32).reshape(r.shape) for r in rows}
+    p = trained().p
+    rows = [(k, list(v.shape), v.astype(np.float32).tobytes()) for k, v in p.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, body binary").coalesce(1).write.mode("overwrite").parquet(path)
+    return p
+
+
 def _plausible(kind: str, value: str) -> bool:
     n = len(_DIGIT.findall(value))
     if kind == "email":
@@ -398,7 +421,7 @@ SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string
 
 def detect(docs: DataFrame, tagger: Tagger | None = None, with_text: bool = True) -> DataFrame:
     """``id``, base counts and digest, all spans and the masked text (null without ``with_text``) of ``docs(id, text)``."""
-    shared = docs.sparkSession.sparkContext.broadcast((tagger or trained()).p)
+    shared = docs.sparkSession.sparkContext.broadcast(tagger.p if tagger else weights(docs.sparkSession))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Tagger()
@@ -421,7 +444,7 @@ def detect(docs: DataFrame, tagger: Tagger | None = None, with_text: bool = True
 
 def mask(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """``docs`` with all personal data in ``text`` masked; every other column as it is, null text stays null."""
-    shared = docs.sparkSession.sparkContext.broadcast((tagger or trained()).p)
+    shared = docs.sparkSession.sparkContext.broadcast(tagger.p if tagger else weights(docs.sparkSession))
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,9 +5,6 @@ language of its own): ``charmodel``, of order 4 over all code points at every si
 tasks pre-aggregate, so what is shuffled is a row per n-gram, language and task. Where the model has more n-grams than
 one array holds, texts are read once for each array and the sums added.
 
-``packed``, ``ngrams``, ``Model``, ``shards``, ``models`` and ``scores`` are the earlier model of 128 character classes, whose order
-falls to 3 beyond ``MOST_NGRAMS``. Tests hold them; no query uses them.
-
 Each text's log-perplexity, in nats a character and in nats a word, is held against its language's band,
 median -/+ ``BAND`` robust deviations over all documents that pass the base rules; documents outside either go.
 
@@ -28,209 +25,16 @@ from pyspark.sql import functions as F
 from trackloom.llm import charmodel
 from trackloom.llm.common import Scratch, small_batches
 
-ORDER = 4
-CLASS_BITS = 7
-MOST_NGRAMS = 6_000_000
 BAND = (6.0, 6.0)
 BIN = 0.005
 #: Words beyond which a text's mean is no steadier; least robust deviations (nats a character, a word).
 STEADY = 1000
 LEAST_SPREAD = (0.05, 0.5)
-#: Languages that one set of models (and a table of bands) may have.
-MOST_LANGUAGES = 2_000
 _WS = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"  # fixed values of the contract
 _NONE = "\x00null"
 
 
-def classes(text: str) -> np.ndarray:
-    """Class of each code point: 0 is the text's border, ASCII stands for itself, others share 11 to 31."""
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(cp < 128, np.maximum(cp, 1), 11 + cp % 21).astype(np.int64)
-
-
-def packed(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams ending at each character, borders padded, as integers; and the length of each text."""
-    parts, lengths = [], np.zeros(len(texts), np.int64)
-    for k, text in enumerate(texts):
-        c = classes(text)
-        lengths[k] = len(c)
-        if len(c):
-            key = c.copy()
-            for back in range(1, order):
-                key[back:] |= c[:-back] << (CLASS_BITS * back)
-            parts.append(key)
-    return np.concatenate(parts) if parts else np.zeros(0, np.int64), lengths
-
-
-def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
-    return k[first], np.add.reduceat(c, first) if len(k) else c
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, tuple[list, list]] = {}
-
-    def rows() -> Iterator[pa.RecordBatch]:
-        for lang, (k, c) in held.items():
-            k, c = _merge(k, c)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k), pa.array(c)], names=["lang", "gram", "n"])
-
-    waiting = 0
-    for batch in small_batches(batches, "text"):
-        by: dict[str, list[str]] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            if text:
-                by.setdefault(_NONE if lang is None else lang, []).append(text)
-        for lang, texts in by.items():
-            key = np.sort(packed(texts, ORDER)[0])
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            k, c = held.setdefault(lang, ([], []))
-            k.append(key[first])
-            c.append(np.diff(np.r_[first, len(key)]))
-            waiting += len(first)
-        if waiting > 2_000_000:
-            held = {lang: tuple([x] for x in _merge(k, c)) for lang, (k, c) in held.items()}
-            waiting = 0
-            if sum(len(k[0]) for k, _ in held.values()) > 3_000_000:
-                yield from rows()
-                held = {}
-    yield from rows()
-
-
-def ngrams(docs: DataFrame) -> DataFrame:
-    """``lang, gram, n``: counts of all character n-grams of ``ORDER`` in all texts."""
-    rows = docs.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
-    return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def _mix(key: np.ndarray) -> np.ndarray:
-    """A bijective hash of 64-bit integers (so arrays of hashes lose no n-gram)."""
-    x = key.astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _sorted(key: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes in order, and log p beside them."""
-    h = _mix(key)
-    o = np.argsort(h)
-    return h[o], np.log(np.maximum(p[o], 1e-12)).astype(np.float32)
-
-
-def _find(hashes: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of keys in a sorted hash array, and which are there."""
-    want = _mix(key)
-    at = np.minimum(np.searchsorted(hashes, want), max(len(hashes) - 1, 0))
-    return at, (hashes[at] == want) if len(hashes) else np.zeros(len(key), bool)
-
-
-class Model:
-    """Interpolated modified Kneser-Ney. Sorted hash arrays: ``tables[k - 1]`` of k-grams and their log-probabilities, ``back[k - 1]`` of contexts of k-grams and their log back-off weights."""
-
-    def __init__(self, gram: np.ndarray, n: np.ndarray, order: int = ORDER):
-        order_of = np.argsort(gram)
-        keys, counts = gram[order_of], n[order_of].astype(np.float64)
-        levels: list[tuple[np.ndarray, np.ndarray]] = [(keys, counts)]
-        for k in range(order - 1, 0, -1):  # continuation counts: distinct left neighbours; texts' borders are one
-            lower = np.sort(levels[-1][0] & ((1 << (CLASS_BITS * k)) - 1))
-            first = np.flatnonzero(np.r_[True, lower[1:] != lower[:-1]]) if len(lower) else np.zeros(0, np.int64)
-            levels.append((lower[first], np.diff(np.r_[first, len(lower)]).astype(np.float64)))
-        levels.reverse()
-        self.order, self.tables, self.back = order, [], []
-        base = 1.0 / (1 << CLASS_BITS)
-        below_key, below_p = None, None
-        for k, (key, c) in enumerate(levels, 1):
-            ones = [float((c == i).sum()) for i in (1, 2, 3, 4)]
-            y = ones[0] / (ones[0] + 2 * ones[1]) if ones[0] else 0.0
-            d = [min(max(i - (i + 1) * y * ones[i] / ones[i - 1], 0.0), float(i)) if ones[i - 1] else 0.0 for i in (1, 2, 3)]
-            discount = np.select([c == 1, c == 2], [d[0], d[1]], d[2])
-            head = key >> CLASS_BITS
-            first = np.flatnonzero(np.r_[True, head[1:] != head[:-1]]) if len(key) else np.zeros(0, np.int64)
-            which = np.cumsum(np.r_[True, head[1:] != head[:-1]]) - 1 if len(key) else np.zeros(0, np.int64)
-            total = np.add.reduceat(c, first) if len(key) else c
-            gamma = np.add.reduceat(discount, first) / total if len(key) else c
-            lower = np.full(len(key), base) if k == 1 else below_p[np.searchsorted(below_key, key & ((1 << (CLASS_BITS * (k - 1))) - 1))]
-            p = np.maximum(c - discount, 0) / total[which] + gamma[which] * lower if len(key) else c
-            self.tables.append(_sorted(key, p))
-            self.back.append(_sorted(head[first], gamma))
-            below_key, below_p = key, p
-        self.unseen = float(np.log(base)) if not len(self.back[0][0]) else float(self.back[0][1][0] + np.log(base))
-
-    def bytes(self) -> int:
-        return sum(a.nbytes for t in (*self.tables, *self.back) for a in t)
-
-    def logp(self, key: np.ndarray) -> np.ndarray:
-        """Natural log-probability of the last character of each packed n-gram."""
-        out = np.zeros(len(key), np.float64)
-        left = np.arange(len(key))
-        for k in range(self.order, 0, -1):
-            part = key[left] & ((1 << (CLASS_BITS * k)) - 1)
-            at, hit = _find(self.tables[k - 1][0], part)
-            out[left[hit]] += self.tables[k - 1][1][at[hit]]
-            left, part = left[~hit], part[~hit]
-            if not len(left):
-                break
-            if k > 1:
-                at, hit = _find(self.back[k - 1][0], part >> CLASS_BITS)
-                out[left[hit]] += self.back[k - 1][1][at[hit]]
-            else:
-                out[left] += self.unseen
-        return out
-
-
-def shards(grams: DataFrame, most: int = MOST_NGRAMS) -> list[list[tuple[str, int]]]:
-    """Languages, with the order of their models, in groups whose tables hold at most ``most`` n-grams.
-
-    A language that has more of order 4 falls to order 3, of which 128**3 exist. Only counts reach the driver, a row a language.
-    """
-    sizes = grams.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    out: list[list[tuple[str, int]]] = []
-    room = 0
-    for lang, n in sorted(tuple(r) for r in sizes):
-        order, n = (ORDER, n) if n <= most else (3, min(n, 1 << (3 * CLASS_BITS)))
-        if not out or n > room:
-            out.append([])
-            room = most
-        out[-1].append((lang, order))
-        room -= n
-    return out or [[]]
-
-
-def models(grams: DataFrame, languages: list[tuple[str, int]]) -> dict[str, Model]:
-    """Models of a group of languages from the written counts."""
-    out = {}
-    for lang, order in languages:
-        rows = grams.where(F.col("lang") == lang)
-        if order < ORDER:
-            rows = rows.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (order * CLASS_BITS)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        rows = rows.select("gram", "n").toArrow()
-        out[lang] = Model(rows.column("gram").to_numpy(), rows.column("n").to_numpy(), order)
-    return out
-
-
-def scores(docs: DataFrame, grams: DataFrame, scratch: Scratch, most: int = MOST_NGRAMS) -> DataFrame:
-    """``id, lang`` and the columns of ``SCORED``: a pass over the texts for each group of models, usually one."""
-    spark, groups = docs.sparkSession, shards(grams, most)
-    kind = docs.schema["id"].dataType.simpleString()
-    name, parts = F.coalesce("lang", F.lit(_NONE)), []
-    others = [lang for g in groups[1:] for lang, _ in g]
-    for k, group in enumerate(groups):
-        own = docs.select("id", "lang", "text")
-        if others:  # the first group also takes languages without any n-gram
-            own = own.where(name.isin(*(lang for lang, _ in group)) if k else ~name.isin(*others))
-        shared = spark.sparkContext.broadcast(models(grams, group))
-        parts.append(scratch.keep(own.mapInArrow(_scorer(shared), f"id {kind}, lang string, {SCORED}"), "scored"))
-        shared.unpersist()
-    return reduce(DataFrame.unionByName, parts)
-
-
 def repeated(words: list[bytes], width: int = 5) -> int:
     """Words inside windows of ``width`` words that occur twice or more, first occurrences included."""
     n = len(words) - width + 1
@@ -272,34 +76,6 @@ def base(text: str | None) -> tuple[int, int, int, int, int, bool]:
 SCORED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_perplexity double, nats double"
 
 
-def _scorer(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in small_batches(batches, "text"):
-            langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
-            stats = [base(x) for x in texts]
-            score, nats = np.full(len(texts), np.nan), np.full(len(texts), np.nan)
-            for lang, model in known.items():
-                rows = [k for k, x in enumerate(langs) if (_NONE if x is None else x) == lang and texts[k]]
-                if not rows:
-                    continue
-                key, lengths = packed([texts[k] for k in rows], model.order)
-                key |= np.repeat(np.arange(len(rows)) << (CLASS_BITS * model.order), lengths)
-                key.sort()
-                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                n, key = np.diff(np.r_[first, len(key)]), key[first]
-                logp = model.logp(key & ((1 << (CLASS_BITS * model.order)) - 1))
-                nats[rows] = -np.bincount(key >> (CLASS_BITS * model.order), logp * n, len(rows))
-                score[rows] = nats[rows] / lengths
-            cols = [pa.array(c, k) for c, k in zip(zip(*stats), [pa.int64()] * 5 + [pa.bool_()])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("lang"), *cols, pa.array(score, from_pandas=True), pa.array(nats, from_pandas=True)],
-                names=["id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_perplexity", "nats"],
-            )
-
-    return run
-
-
 RAW = SCORED.replace("log_perplexity double, nats double", "cost long, n_code long, mark long, twin long")
 
 
