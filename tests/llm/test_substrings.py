@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trackloom.llm import anchors, runs, substrings, suffixes
 from trackloom.llm.common import Scratch
@@ -79,7 +80,7 @@ def test_every_window_has_one_anchor_and_equal_windows_equal_ones():
         units = anchors.BYTES[np.frombuffer(b"".join(texts), np.uint8)]
         found = anchors.anchors(units, np.cumsum([len(t) for t in texts]), 6, 3)
         owned, by = [], defaultdict(set)
-        for a, _, p, s, z, o in zip(*found):
+        for a, _, _, p, s, z, o in zip(*found):
             for i in range(s, s + z):
                 owned.append((p, i))
                 by[texts[p][i : i + 6]].add((int(a), int(o - (i - s))))
@@ -141,10 +142,51 @@ def test_odd_tables(spark):
 def test_runs_are_bucketed_and_compacted(spark):
     scratch = Scratch(spark, "t")
     log = runs.Runs(spark, scratch, buckets=2, fanout=2)
-    rows = [(a, a, u, u) for u in range(4) for a in (u, u + 1)]
+    rows = [(a, a, a, u, u) for u in range(4) for a in (u, u + 1)]
     for u in range(4):
-        log.append(spark.createDataFrame([r for r in rows if r[2] == u], runs.ROW))
+        log.append(spark.createDataFrame([r for r in rows if r[3] == u], runs.ROW))
     assert len(log.names) <= 2 and log.rows().count() == len(rows)
     plan = log.rows().groupBy("anchor").count()._jdf.queryExecution().toString()
     assert plan
     log.drop()
+
+
+@pytest.mark.parametrize("runs_of", [1, 3])
+def test_hot_anchors_are_dealt_over_buckets_and_lose_nothing(spark, runs_of):
+    rng = np.random.default_rng(0)
+    rows = [(7, int(c), int(c), int(u), int(u)) for u, c in enumerate(rng.integers(0, 5, 4000))] + [(100 + u, 1, 1, u, u) for u in range(2000)] + [(9, 1, 1, 9999, 1), (11, 1, 1, 1, 1)]
+    log = runs.Runs(spark, Scratch(spark, "hot"), buckets=8, fanout=4)
+    matched = None
+    for k in range(runs_of):
+        own = spark.createDataFrame([r for r in rows if r[3] % runs_of == k], runs.ROW)
+        new = log.append(own, own.where(F.pmod(F.xxhash64("uid"), F.lit(16)) == 0) if k == 0 else None)  # later runs do not know of it
+        matched = new if matched is None else matched.unionByName(new)
+    first = spark.table(log.names[0]).groupBy("anchor").count().agg(F.max("count")).first()[0]
+    assert first < 4000 / runs_of / 3
+    got = sorted(map(tuple, log.occurrences(matched.distinct()).select("anchor", "context", "twin", "uid", "at").collect()))
+    assert got == sorted(r for r in rows if r[0] == 7)
+    log.drop()
+
+
+def test_batches_against_a_lasting_index(spark, tmp_path):
+    docs = corpus(6, n=50)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want, got = words_brute(docs, 8), []
+    cuts = [0, 40, 41, 90, 120, 2000]
+    for low, high in zip(cuts, cuts[1:]):
+        index = substrings.Index(spark, str(tmp_path / "index"), 8, 3, fanout=2, buckets=3)  # found again each time
+        part = df.where(F.col("doc_id").between(low, high - 1))
+        got += [tuple(r)[:4] for r in index.add(part, df.where(F.col("doc_id") < low)).collect()]
+    assert sorted(got) == want
+    assert len(index.runs.names) <= 2
+    with pytest.raises(ValueError):
+        index.add(df.limit(1))
+
+
+def test_ids_of_other_types(spark):
+    docs = [(f"{d:05d}", t) for d, t in corpus(4, n=20)]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    assert sorted(tuple(r)[:4] for r in substrings.dedup(df, length=8, gram=3).collect()) == words_brute(docs, 8)
+    assert sorted(tuple(r)[:5] for r in suffixes.dedup(df, length=20, gram=6).collect()) == bytes_brute(docs, 20)
+    with pytest.raises(ValueError):
+        substrings.dedup(df, length=2000, gram=3)

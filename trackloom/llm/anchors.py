@@ -3,8 +3,8 @@
 A window is ``length`` consecutive units (bytes, or hashes of words). Of the ``length - gram + 1`` grams in it,
 the one with the least hash, the leftmost of equals, is its anchor. Equal windows have equal anchors at equal
 places, so only about ``2 / (length - gram + 2)`` of all positions need to be indexed for an exact search. An
-anchor owns a run of windows; ``context`` is a hash of all units under that run, of its extent and of
-the anchor's place in it, so two rows with equal (anchor, context) own equal windows one by one.
+anchor owns a run of windows; ``context`` and ``twin`` are two hashes, of different bases, of all units under that run, of its extent and of
+the anchor's place in it: 128 bits by which two rows that agree in them own equal windows one by one.
 
 All hashes are 64-bit polynomials over mixed units, taken from prefix sums, in numpy.
 """
@@ -16,20 +16,23 @@ from typing import NamedTuple
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(BASE, -1, 1 << 64)
+TWIN = 0xD6E8FEB86659FD93 | 1
 #: A text longer than this is searched in pieces that overlap by a window less one unit.
 PIECE = 1 << 20
 
-_cache: dict[str, np.ndarray] = {}
+_cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_cache.get("up", ())) < n:
-        for name, base in (("up", BASE), ("down", _INVERSE)):
-            x = np.full(n, base, np.uint64)
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse, n of each at least."""
+    if base not in _cache or len(_cache[base][0]) < n:
+        both = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            x = np.full(n, b, np.uint64)
             x[0] = 1
-            _cache[name] = np.cumprod(x, dtype=np.uint64)
-    return _cache["up"], _cache["down"]
+            both.append(np.cumprod(x, dtype=np.uint64))
+        _cache[base] = both[0], both[1]
+    return _cache[base]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,8 +48,8 @@ BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
 class Rolling:
     """Hashes of any range of a sequence of mixed 64-bit units."""
 
-    def __init__(self, units: np.ndarray):
-        up, self.down = _powers(len(units) + 1)
+    def __init__(self, units: np.ndarray, base: int = BASE):
+        up, self.down = _powers(len(units) + 1, base)
         self.sums = np.zeros(len(units) + 1, np.uint64)
         np.cumsum(units * up[: len(units)], dtype=np.uint64, out=self.sums[1:])
 
@@ -72,6 +75,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 class Found(NamedTuple):
     anchor: np.ndarray
     context: np.ndarray
+    twin: np.ndarray
     piece: np.ndarray  # number of the piece
     first: np.ndarray  # first window owned, from the piece's start
     size: np.ndarray  # windows owned
@@ -80,10 +84,10 @@ class Found(NamedTuple):
 
 def anchors(units: np.ndarray, ends: np.ndarray, length: int, gram: int) -> Found:
     """Anchors of pieces that stand one after another in ``units`` and end at ``ends``."""
-    none = np.zeros(0, np.int64)
+    none, no = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     n = len(units)
     if n < length:
-        return Found(none.astype(np.uint64), none.astype(np.uint64), none, none, none, none)
+        return Found(no, no, no, none, none, none, none)
     rolling = Rolling(units)
     g = rolling.all(gram)
     least = sliding_min(g, length - gram + 1)
@@ -99,7 +103,7 @@ def anchors(units: np.ndarray, ends: np.ndarray, length: int, gram: int) -> Foun
     fresh &= valid
     first = np.flatnonzero(fresh)
     if not len(first):
-        return Found(none.astype(np.uint64), none.astype(np.uint64), none, none, none, none)
+        return Found(no, no, no, none, none, none, none)
     stops = np.flatnonzero(fresh | ~valid)
     after = np.searchsorted(stops, first, "right")
     last = np.where(after < len(stops), stops[np.minimum(after, len(stops) - 1)], len(least)) - 1
@@ -110,9 +114,9 @@ def anchors(units: np.ndarray, ends: np.ndarray, length: int, gram: int) -> Foun
         seek = seek[g[at[seek]] != value[seek]]
     size, place = last - first + 1, at - first
     extent = mix((size.astype(np.uint64) << np.uint64(20)) | place.astype(np.uint64))
-    context = mix(rolling(first, last + length) ^ extent)
+    context, twin = (mix(r(first, last + length) ^ extent) for r in (rolling, Rolling(units, TWIN)))
     piece = np.searchsorted(ends, first, "right")
-    return Found(value, context, piece, first - begins[piece], size, place)
+    return Found(value, context, twin, piece, first - begins[piece], size, place)
 
 
 def cover(starts: np.ndarray, sizes: np.ndarray, length: int, total: int) -> np.ndarray:

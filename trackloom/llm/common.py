@@ -38,8 +38,8 @@ class Scratch:
     no recomputation. ``clear`` removes all tables but those named.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, name: str, root: str | None = None):
+        self.spark, self.root = spark, root or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made: list[str] = []
         self.count = 0
 
@@ -110,14 +110,15 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 1
 def with_uid(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``doc_id, uid, text``: uid orders documents as doc_id does and is unique and not null.
 
-    Where doc_id is unique and not null, uid is doc_id. Otherwise rows are numbered by
+    Where doc_id is an integer, unique and not null, uid is doc_id. Otherwise rows are numbered by
     (doc_id, text hash), null ids last; rows equal in both share one uid, that is, they count as one
     document listed more than once.
     """
     docs = docs.select("doc_id", "text")
-    odd = docs.select("doc_id").groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
+    whole = docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    odd = not whole or docs.select("doc_id").groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
     if not odd:
-        return docs.select("doc_id", F.col("doc_id").alias("uid"), "text")
+        return docs.select("doc_id", F.col("doc_id").cast("long").alias("uid"), "text")
     rows = docs.withColumn("rid", F.sha2(F.coalesce(F.concat(F.lit("t"), "text"), F.lit("")), 256))
     n = partitions(docs.sparkSession)
     ids = scratch.keep(

@@ -3,9 +3,10 @@
 A window is 20 consecutive words of one document. Batches of documents, in the order of doc_id, are
 fingerprinted (``anchors``: a sixth of all windows is indexed, and the search stays exact) and
 appended as sorted immutable runs; each new run is merge-joined with itself and the runs before it; runs are
-compacted as they become many. Matches are verified:
+compacted as they become many. ``Index`` keeps the runs in a folder, so that later batches, in later sessions too, are held against all
+earlier ones. Matches are verified:
 
-* occurrences with equal anchor and equal context own equal windows; all but the first repeat it;
+* occurrences with equal anchor and equal context (128 bits of all words under their windows) own equal windows; all but the first repeat it;
 * where an anchor has several contexts, the first occurrence of each is re-read, and single windows are compared
   by a 128-bit hash of their words.
 
@@ -17,22 +18,23 @@ repeats of a row count as one document. Null doc_ids come last. Texts of under 2
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm.anchors import cover, mix
 from trackloom.llm.common import Scratch, small_batches, with_uid
-from trackloom.llm.runs import Runs, contexts, fingerprint_rows, one_window, unpack
+from trackloom.llm.runs import SAMPLE, Runs, contexts, fingerprint_rows, one_window, unpack
 
 LENGTH = 20
 GRAM = 6
-BATCHES = 2
+BATCHES, FANOUT = 3, 2
 
 
 def _units(text: bytes) -> np.ndarray:
@@ -79,8 +81,8 @@ def _removed(length: int, with_text: bool):
 def repeated_windows(docs: DataFrame, occurrences: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame:
     """``uid, at`` of runs of windows that also start earlier; ``docs(uid, text)`` holds the texts of all occurrences."""
     by = contexts(occurrences, scratch)
-    later = by.where("not single").select("anchor", "context", "first")
-    later = occurrences.join(later, ["anchor", "context"]).where(F.struct("uid", "at") > F.col("first")).select("uid", "at")
+    later = by.where("not single").select("anchor", "context", "twin", "first")
+    later = occurrences.join(later, ["anchor", "context", "twin"]).where(F.struct("uid", "at") > F.col("first")).select("uid", "at")
     later = scratch.keep(later, "later")
     scratch.discard(occurrences)
     scratch.free()
@@ -97,7 +99,56 @@ def repeated_windows(docs: DataFrame, occurrences: DataFrame, scratch: Scratch,
     return out
 
 
-def dedup(docs: DataFrame, batches: int = BATCHES, length: int = LENGTH, gram: int = GRAM, fanout: int = 4, with_text: bool = True) -> DataFrame:
+def sampled(docs: DataFrame) -> DataFrame:
+    """Documents whose rows tell which anchors are hot."""
+    return docs.where(F.pmod(F.xxhash64("uid"), F.lit(SAMPLE)) == 0)
+
+
+class Index:
+    """A lasting index in the folder ``path``: each batch is held against itself and all batches before it.
+
+    doc_ids are integers, unique, not null, and larger in each batch than in those before (ValueError otherwise). A batch that fails leaves the index as it was.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, length: int = LENGTH, gram: int = GRAM, fanout: int = FANOUT, buckets: int | None = None):
+        self.spark, self.path, self.length, self.gram = spark, path.rstrip("/"), length, gram
+        self.runs = Runs(spark, Scratch(spark, "index", f"{self.path}/runs-{uuid.uuid4().hex}"), buckets, fanout)
+        self.last = None
+        if found := self._states():
+            held = spark.read.parquet(f"{self.path}/{found[-1]}")
+            self.last = held.agg(F.max("last")).first()[0]
+            self.runs.load(held)
+
+    def _states(self) -> list[str]:
+        """Names of the states written whole, oldest first."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(n for n in names if n.startswith("state-") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
+
+    def add(self, batch: DataFrame, history: DataFrame | None = None, with_text: bool = True) -> DataFrame:
+        """As ``dedup`` for ``batch(doc_id, text)``. ``history(doc_id, text)``: all earlier documents; only those whose windows must be compared are read."""
+        scratch = Scratch(self.spark, "batch")
+        n, distinct, low, high = batch.agg(F.count("*"), F.countDistinct("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
+        if n != distinct or (n and self.last is not None and low <= self.last):
+            raise ValueError("doc_ids of a batch must be unique, not null and larger than those of earlier ones")
+        docs = batch.select("doc_id", F.col("doc_id").cast("long").alias("uid"), "text")
+        texts = docs if history is None else docs.unionByName(history.select("doc_id", F.col("doc_id").cast("long").alias("uid"), "text"))
+        matched = self.runs.append(fingerprint_rows(docs, _units, self.length, self.gram), fingerprint_rows(sampled(docs), _units, self.length, self.gram))
+        occurrences = self.runs.occurrences(matched)
+        ranges = repeated_windows(texts, occurrences, scratch, self.length).where(F.col("uid") >= F.lit(low))
+        ranges = ranges.groupBy("uid").agg(F.collect_list("at").alias("at"))
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        out = docs.join(ranges, "uid", "left").select("doc_id", "text", "at").mapInArrow(_removed(self.length, with_text), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
+        out = scratch.keep(out, "out")
+        self.last = high if high is not None else self.last
+        self.runs.state().withColumn("last", F.lit(self.last).cast("long")).coalesce(1).write.parquet(f"{self.path}/state-{len(self._states()):08d}")
+        scratch.clear(out)
+        return out
+
+
+def dedup(docs: DataFrame, batches: int = BATCHES, length: int = LENGTH, gram: int = GRAM, fanout: int = FANOUT, with_text: bool = True) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept`` of every row of ``docs(doc_id, text)``; kept is null without ``with_text``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
@@ -108,10 +159,10 @@ def dedup(docs: DataFrame, batches: int = BATCHES, length: int = LENGTH, gram: i
         cuts = [low + (high + 1 - low) * b // batches for b in range(batches + 1)]
         for a, b in zip(cuts, cuts[1:]):
             part = docs.where((F.col("uid") >= a) & (F.col("uid") < b))
-            new = runs.append(fingerprint_rows(part, _units, length, gram))
+            new = runs.append(fingerprint_rows(part, _units, length, gram), fingerprint_rows(sampled(part), _units, length, gram))
             matched = new if matched is None else matched.unionByName(new)
         occurrences = runs.occurrences(matched.distinct())
-        runs.drop()  # a lasting index would keep them
+        runs.drop()  # ``Index`` keeps them
         ranges = repeated_windows(docs, occurrences, scratch, length)
         ranges = ranges.groupBy("uid").agg(F.collect_list("at").alias("at"))
         scratch.free()

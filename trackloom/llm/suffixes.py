@@ -12,7 +12,7 @@ between them, and a symbol costs the same however large the collection is; the u
 whole transform for each column. Symbols stand in an external file, column after column, written once and
 read in sequence; order and prefixes of one column are all that is held.
 
-Before that, occurrences with the same anchor and the same context (all bytes under the windows that the
+Before that, occurrences with the same anchor and the same context (128 bits of all bytes under the windows that the
 anchor owns) are known to repeat each other and need one member in the collection. An anchor with more than
 ``GROUP`` different contexts is split into groups by hash; strings that no group member repeats are then compared
 across groups by a 128-bit hash, pre-aggregated, so no task holds an unbounded group.
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from trackloom.llm.anchors import BYTES, cover
 from trackloom.llm.common import Scratch, small_batches, with_uid
-from trackloom.llm.runs import Runs, contexts, fingerprint_rows, one_window, unpack
+from trackloom.llm.runs import SAMPLE, Runs, contexts, fingerprint_rows, one_window, unpack
 
 LENGTH = 200
 GRAM = 48
@@ -208,8 +208,8 @@ def _removed(length: int, with_bytes: bool):
 def repeated_strings(docs: DataFrame, occurrences: DataFrame, scratch: Scratch, length: int, group: int) -> DataFrame:
     """``uid, at`` of runs of strings that also start elsewhere."""
     by = contexts(occurrences, scratch)
-    twice = by.where("not single").select("anchor", "context")
-    known = scratch.keep(occurrences.join(twice, ["anchor", "context"]).select("uid", "at"), "known")
+    twice = by.where("not single").select("anchor", "context", "twin")
+    known = scratch.keep(occurrences.join(twice, ["anchor", "context", "twin"]).select("uid", "at"), "known")
     scratch.discard(occurrences)
     scratch.free()
     wanted = by.where("n > 1 and lone > 0").withColumn("parts", F.ceil(F.col("n") / group).cast("int"))
@@ -238,7 +238,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int =
     scratch = Scratch(spark, "suffixes")
     docs = with_uid(docs, scratch)
     runs = Runs(spark, scratch)
-    matched = runs.append(fingerprint_rows(docs, _units, length, gram))
+    sample = docs.where(F.pmod(F.xxhash64("uid"), F.lit(SAMPLE)) == 0)
+    matched = runs.append(fingerprint_rows(docs, _units, length, gram), fingerprint_rows(sample, _units, length, gram))
     occurrences = runs.occurrences(matched)
     runs.drop()
     ranges = repeated_strings(docs, occurrences, scratch, length, group)
