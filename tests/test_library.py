@@ -112,8 +112,11 @@ def test_components_modes_and_flows(spark):
     rows = [(0, 0, float(h)) for h in [358, 2, 0, 1, 359] * 4 + [180, 181, 179] * 3]
     modes = scene.heading_modes(spark.createDataFrame(rows, "i int, j int, heading double"), ["i", "j"]).orderBy("mode").collect()
     assert [round(m.heading) % 360 for m in modes] == [0, 180] and [m.n for m in modes] == [20, 9]
-    flow = lambda x, y, u, v: {"x0": x, "y0": y, "x1": u, "y1": v, "weight": 1}
-    assert clusters.merge_flows([flow(0, 0, 1000, 0), flow(0, 100, 1000, 120), flow(0, 900, 1000, 900), flow(1000, 0, 0, 0)]) == [0, 0, 1, 2]
+    assert clusters.alike((0, 0, 1000, 0), (0, 100, 900, 120)) and not clusters.alike((0, 0, 1000, 0), (0, 900, 1000, 900)) and not clusters.alike((0, 0, 1000, 0), (1000, 0, 0, 0))
+    rows = [(c, *(float(x + d) for x in f)) for c, f in enumerate([(0, 0, 1000, 0), (0, 200, 1000, 200), (0, 400, 1000, 400), (0, 2000, 0, 100)]) for d in range(9 - c)]
+    got = clusters.merged_flows(spark.createDataFrame(rows, "cluster int, x0 double, y0 double, x1 double, y1 double"), "cluster")
+    names = {r.cluster: r.flow for r in got.collect()}
+    assert names[0] == names[1] == "F1" and names[3] != "F1" and len(set(names.values())) == (2 if names[2] == "F1" else 3)
 
 
 def test_sampling_and_bootstrap_repeat(spark):

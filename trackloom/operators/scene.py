@@ -76,9 +76,11 @@ def blockers(coherence: Column, tracks: Column, modes: Column, agreeing: Column,
     )
 
 
-def heading_modes(df: DataFrame, cell: Sequence[str], heading: str = "heading", reach: float = 45.0, kappa: float = 12.0, least: int = 1) -> DataFrame:
+def heading_modes(df: DataFrame, cell: Sequence[str], heading: str = "heading", reach: float = 45.0, kappa: float = 12.0, least: int = 1, share: float = 0.0) -> DataFrame:
     """Directions of a cell, greedily: the peak of a von Mises density on a 1-degree grid, re-centred once on the members within ``reach``; members leave and the search repeats.
 
+    It ends where fewer than ``least`` samples, or less than ``share`` of the cell's, are left or make the next mode.
+
     A cell is collected into one task as a histogram of whole degrees (at most 360 rows), whatever its number of samples.
     """
     binned = df.groupBy(*cell, F.pmod(F.round(F.col(heading)), F.lit(360.0)).cast("int").alias("degree")).agg(F.count("*").alias("n"))
@@ -88,14 +90,14 @@ def heading_modes(df: DataFrame, cell: Sequence[str], heading: str = "heading",
     def modes(part: pd.DataFrame) -> pd.DataFrame:
         degree, weight = part["degree"].to_numpy(), part["n"].to_numpy().astype(float)
         total, out = weight.sum(), []
-        while weight.sum() >= least:
+        while weight.sum() >= max(least, share * total, 1):
             density = (np.exp(kappa * (np.cos(grid[:, None] - grid[degree][None, :]) - 1)) * weight).sum(axis=1)
             peak = float(np.argmax(density))
             for _ in range(2):
                 near = (np.abs((degree - peak + 180) % 360 - 180) <= reach) & (weight > 0)
                 peak = float(np.degrees(np.arctan2((np.sin(grid[degree]) * weight)[near].sum(), (np.cos(grid[degree]) * weight)[near].sum())) % 360)
             near = (np.abs((degree - peak + 180) % 360 - 180) <= reach) & (weight > 0)
-            if not near.any():
+            if weight[near].sum() < max(least, share * total, 1):
                 break
             out.append((round(peak, 3), weight[near].sum() / total, int(weight[near].sum())))
             weight = np.where(near, 0, weight)

@@ -23,8 +23,8 @@ def risk_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some purchases as accidents and near misses of a curve in seconds."""
-    ev = events(spark, sf_dir).where("event_type = 'purchase' and k < 60")
+    """Purchases as accidents and near misses of a curve in seconds."""
+    ev = events(spark, sf_dir).where("event_type = 'purchase'")
     return ev.select("video", F.when(F.col("k") < 30, "accident").otherwise("near_miss").alias("label"), F.col("t").alias("start_s"), (F.col("t") + F.col("value") * 5.0).alias("end_s"))
 
 
@@ -141,7 +141,7 @@ def score_per_video(spark, sf_dir):
     return metrics.per_video(match_segments(spark, sf_dir), ["c0", "c1", "c2"])
 
 
-TRUTH = EV + """, gt AS (SELECT video, CASE WHEN k < 30 THEN 'accident' ELSE 'near_miss' END AS label, t AS start_s, t + value * 5.0 AS end_s FROM ev WHERE event_type = 'purchase' AND k < 60),
+TRUTH = EV + """, gt AS (SELECT video, CASE WHEN k < 30 THEN 'accident' ELSE 'near_miss' END AS label, t AS start_s, t + value * 5.0 AS end_s FROM ev WHERE event_type = 'purchase'),
  risk AS (SELECT video, t, least(1.0, max(value) / 200.0) AS score FROM ev WHERE event_type IN ('click', 'error') GROUP BY video, t),
  lab AS (SELECT r.video, r.t, r.score, CASE WHEN EXISTS (SELECT 1 FROM gt WHERE gt.video = r.video AND label = 'accident' AND r.t >= start_s AND r.t <= end_s) THEN NULL
    WHEN EXISTS (SELECT 1 FROM gt WHERE gt.video = r.video AND label = 'accident' AND r.t >= start_s - 1800.0 AND r.t < start_s) THEN 1

@@ -183,7 +183,7 @@ def blockers(spark, sf_dir):
 def heading_modes(spark, sf_dir):
     """Rows only; greedy modes have no SQL form."""
     rows = moving(spark, sf_dir).withColumns({"i": F.floor(F.col("x") / 30).cast("int"), "j": F.floor(F.col("y") / 30).cast("int")})
-    return scene.heading_modes(rows, ["i", "j"], least=8)
+    return scene.heading_modes(rows, ["i", "j"], least=8, share=0.15)
 
 
 catalog.add()(heading_modes)
@@ -196,7 +196,7 @@ def corr_masked(spark, sf_dir):
     return stats.masked_correlation(ev, ["grp"], "value", "k", F.col("event_type") != "error").select("grp", "n", r6("r").alias("r"))
 
 
-RATES = EV + ", o AS (SELECT DISTINCT video, t FROM ev WHERE event_type = 'signup' AND k < 20), e AS (SELECT video, t FROM ev WHERE event_type = 'click')"
+RATES = EV + ", o AS (SELECT DISTINCT video, t FROM ev WHERE event_type = 'signup'), e AS (SELECT video, t FROM ev WHERE event_type = 'click')"
 
 
 @catalog.add(RATES + """, u AS (SELECT * FROM o WHERE t - 7200 >= 0 AND t + 3600 <= 2592000)
@@ -204,7 +204,7 @@ RATES = EV + ", o AS (SELECT DISTINCT video, t FROM ev WHERE event_type = 'signu
 def window_rates(spark, sf_dir):
     """R1."""
     ev = events(spark, sf_dir)
-    onsets = ev.where("event_type = 'signup' and k < 20").select("video", "t").distinct()
+    onsets = ev.where("event_type = 'signup'").select("video", "t").distinct()
     return stats.window_rates(onsets, ev.where("event_type = 'click'"), ["video"], 7200.0, 3600.0, 2592000.0).withColumn("effect", F.round("effect", 9))
 
 
@@ -219,7 +219,7 @@ def pooled_mean(spark, sf_dir):
 def perm_null(spark, sf_dir):
     """Joint circular shifts by arithmetic seeds."""
     ev = events(spark, sf_dir)
-    onsets = ev.where("event_type = 'signup' and k < 20").select("video", "t").distinct()
+    onsets = ev.where("event_type = 'signup'").select("video", "t").distinct()
     return stats.circular_shift_null(onsets, ev.where("event_type = 'click'"), ["video"], 1800.0, 2592000.0, 20, F.col("draw") * 97003.0)
 
 
@@ -231,21 +231,79 @@ def held_out_window(spark, sf_dir):
     return stats.best_window(half(0), half(1), "win", "v").withColumns({c: r6(c) for c in ("train_value", "test_value")})
 
 
+DRAW = "('0x' || substr(md5({text}), 1, 15))::BIGINT"
+
+
+@catalog.add(EV + """, b AS (SELECT CAST(floor(t / 86400.0) AS INT) AS block, sum(value) AS s, count(value) AS n FROM ev GROUP BY 1),
+ d AS (SELECT r.range AS draw, """ + DRAW.format(text="'0:' || r.range || ':' || s.range") + """ % 30 AS block FROM range(1000) r, range(30) s),
+ m AS (SELECT draw, sum(s) / sum(n) AS mean FROM d JOIN b USING (block) GROUP BY draw) SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m""")
 def bootstrap_interval(spark, sf_dir):
-    """Rows only; draws come from Spark's hash."""
+    """Block bootstrap with hashed draws."""
     ev = events(spark, sf_dir).withColumn("block", F.floor(F.col("t") / 86400.0).cast("int"))
-    return stats.interval(stats.block_bootstrap(ev, "value", "block", 30, 1000))
+    return stats.interval(stats.block_bootstrap(ev, "value", "block", 30, 1000)).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-catalog.add()(bootstrap_interval)
+@catalog.add(EV + """, b AS (SELECT CAST(floor(t / 86400.0) AS INT) AS block, sum(cos(2 * pi() * t / 3600.0)) AS c, sum(sin(2 * pi() * t / 3600.0)) AS s FROM ev GROUP BY 1),
+ d AS (SELECT r.range AS draw, """ + DRAW.format(text="'0:' || r.range || ':' || s.range") + """ % 30 AS block FROM range(400) r, range(30) s),
+ e AS (SELECT atan2(sum(s), sum(c)) * 3600.0 / (2 * pi()) AS e FROM b), m AS (SELECT draw, atan2(sum(s), sum(c)) * 3600.0 / (2 * pi()) AS p FROM d JOIN b USING (block) GROUP BY draw),
+ v AS (SELECT e, (p - e + 1800.0) - 3600.0 * floor((p - e + 1800.0) / 3600.0) - 1800.0 AS v FROM m, e), q AS (SELECT max(e) AS e, quantile_cont(v, 0.025) AS a, quantile_cont(v, 0.975) AS z FROM v)
+ SELECT round(e - 3600.0 * floor(e / 3600.0), 4) AS phase, round(e + a - 3600.0 * floor((e + a) / 3600.0), 4) AS low, round(e + z - 3600.0 * floor((e + z) / 3600.0), 4) AS high FROM q""")
+def bootstrap_phase(spark, sf_dir):
+    """Circular mean phase and its circular percentile interval over resampled blocks."""
+    ev = events(spark, sf_dir).withColumn("block", F.floor(F.col("t") / 86400.0).cast("int"))
+    return stats.phase_interval(ev, "t", 3600.0, "block", 30, 400).select(*(F.round(c, 4).alias(c) for c in ("phase", "low", "high")))
 
 
+@catalog.add(EV + ", r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY " + DRAW.format(text="'7:' || event_id") + ", event_id) AS rn FROM ev) SELECT event_type, event_id FROM r WHERE rn <= 20")
 def seeded_sample(spark, sf_dir):
-    """Rows only; the order is Spark's hash."""
+    """An exact number of each kind, without replacement."""
     return stats.seeded_sample(events(spark, sf_dir), ["event_type"], 20, 7, ["event_id"]).select("event_type", "event_id")
 
 
-catalog.add()(seeded_sample)
+@catalog.add(RATES + """, sh AS (SELECT d.range AS draw, v.range AS video, """ + DRAW.format(text="'3:' || d.range || ':' || v.range") + """ % 2592000 AS s FROM range(1, 6) d, range(4) v),
+ f AS (SELECT d.range AS draw, o.video, """ + DRAW.format(text="'4:' || d.range || ':' || o.video || ':' || o.rn") + """ % 2592000 AS t FROM (SELECT video, row_number() OVER (PARTITION BY video ORDER BY t) AS rn FROM o) o, range(1, 6) d),
+ a AS (SELECT 'observed' AS kind, 0 AS draw, count(*) AS hits FROM e JOIN o ON o.video = e.video AND e.t >= o.t AND e.t < o.t + 1800.0),
+ b AS (SELECT 'circular_shift' AS kind, draw, count(*) AS hits FROM (SELECT e.video, draw, e.t + s - 2592000.0 * floor((e.t + s) / 2592000.0) AS t FROM e JOIN sh USING (video)) m JOIN o ON o.video = m.video AND m.t >= o.t AND m.t < o.t + 1800.0 GROUP BY draw),
+ c AS (SELECT 'random_onsets' AS kind, draw, count(*) AS hits FROM e JOIN f ON f.video = e.video AND e.t >= f.t AND e.t < f.t + 1800.0 GROUP BY draw)
+ SELECT kind, draw::INT AS draw, hits FROM a UNION ALL SELECT kind, draw::INT, hits FROM b UNION ALL SELECT kind, draw::INT, hits FROM c""")
+def null_draws(spark, sf_dir):
+    """Independent circular shifts of each video and random onsets, by hashed draws."""
+    ev = events(spark, sf_dir)
+    onsets, hits = ev.where("event_type = 'signup'").select("video", "t").distinct(), ev.where("event_type = 'click'").select("video", "t")
+    shifted = stats.circular_shift_null(onsets, hits, ["video"], 1800.0, 2592000.0, 5, stats.drawn(3, "draw", "video") % 2592000)
+    free = stats.random_onset_null(onsets, hits, ["video"], 1800.0, 2592000, 5, 4)
+    name = F.when(F.col("draw") == 0, "observed").otherwise("circular_shift")
+    return shifted.select(name.alias("kind"), "draw", "hits").unionByName(free.select(F.lit("random_onsets").alias("kind"), "draw", "hits"))
+
+
+@catalog.add(RATES + """, w AS (SELECT x.range AS a, x.range + y.w AS b FROM range(11) x, (VALUES (5), (10), (15)) y(w)), g AS (SELECT video, video % 2 AS grp, t FROM o),
+ r AS (SELECT grp, a, b, count(e.t) / (any_value(n) * (b - a) * 60.0) AS rate FROM (SELECT g.*, w.*, count(*) OVER (PARTITION BY grp, a, b) AS n FROM g, w) q LEFT JOIN e ON e.video = q.video AND e.t >= q.t + a * 60.0 AND e.t < q.t + b * 60.0 GROUP BY grp, a, b),
+ k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(rate, 12) DESC, a, b) AS rn FROM r) SELECT k.grp::INT AS trained_on, k.a::INT AS a, k.b::INT AS b, round(k.rate, 9) AS train_rate, round(r.rate, 9) AS test_rate FROM k JOIN r ON r.grp = 1 - k.grp AND r.a = k.a AND r.b = k.b WHERE rn = 1""")
+def held_out_windows(spark, sf_dir):
+    """33 windows after an onset, the best of one group of videos tested on the other, both ways."""
+    ev = events(spark, sf_dir)
+    onsets = ev.where("event_type = 'signup'").select("video", "t").distinct().withColumn("grp", (F.col("video") % 2).cast("int"))
+    windows = [(x, x + w) for x in range(11) for w in (5, 10, 15)]
+    rates = stats.rates_by_window(onsets, ev.where("event_type = 'click'").select("video", "t"), ["video"], "grp", windows, 60.0)
+    return stats.best_by_group(rates, "grp").select("trained_on", "a", "b", *(F.round(c, 9).alias(c) for c in ("train_rate", "test_rate")))
+
+
+def flow_clusters(spark, sf_dir):
+    """k by silhouette, the best of several seeds, parallel flows merged by their medians. Labels are ranks of size; rows only."""
+    rows = track_ends(spark, sf_dir)
+    k, _ = clusters.choose_k(rows, 3, 5, seeds=2)
+    named = clusters.merged_flows(clusters.best_kmeans(rows, k, 2), "cluster")
+    return named.groupBy("flow").agg(F.count("*").alias("n"))
+
+
+def track_ends(spark, sf_dir):
+    from trackloom.operators import tracks
+
+    ends = tracks.summaries(moving(spark, sf_dir), ["user_id"], ("t", "event_id"), 2.0).select("user_id", "x0", "y0", "x1", "y1")
+    return clusters.features(ends, ["x0", "y0", "x1", "y1"])
+
+
+catalog.add()(flow_clusters)
 
 
 def kmeans_flows(spark, sf_dir):
@@ -257,10 +315,10 @@ def kmeans_flows(spark, sf_dir):
 catalog.add()(kmeans_flows)
 
 
-@catalog.add(EV + ", b AS (SELECT CAST(floor((t - 86400.0 * floor(t / 86400.0)) / 3600.0) AS INT) AS bin, count(*) AS n FROM ev WHERE k < 50 GROUP BY 1), w AS (SELECT bin, n FROM b UNION ALL SELECT bin + 24, n FROM b WHERE bin < 2 UNION ALL SELECT bin - 24, n FROM b WHERE bin >= 22), a AS (SELECT bin, n, avg(n) OVER (ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS average FROM w) SELECT bin, n, round(average, 6) AS average FROM a WHERE bin BETWEEN 0 AND 23")
+@catalog.add(EV + ", b AS (SELECT CAST(floor((t - 86400.0 * floor(t / 86400.0)) / 3600.0) AS INT) AS bin, count(*) AS n FROM ev GROUP BY 1), w AS (SELECT bin, n FROM b UNION ALL SELECT bin + 24, n FROM b WHERE bin < 2 UNION ALL SELECT bin - 24, n FROM b WHERE bin >= 22), a AS (SELECT bin, n, avg(n) OVER (ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS average FROM w) SELECT bin, n, round(average, 6) AS average FROM a WHERE bin BETWEEN 0 AND 23")
 def circular_average(spark, sf_dir):
     """W31."""
-    bins = events(spark, sf_dir).where("k < 50").groupBy(F.floor(F.pmod("t", F.lit(86400.0)) / 3600.0).cast("int").alias("bin")).agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
+    bins = events(spark, sf_dir).groupBy(F.floor(F.pmod("t", F.lit(86400.0)) / 3600.0).cast("int").alias("bin")).agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
     return win.circular_average(bins, ["one"], "bin", "n", 24).select("bin", "n", r6("average").alias("average"))
 
 
