@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trackloom.functions.scalars import number
+
 Point = tuple[float, float]
 Polygon = Sequence[Point]
 
@@ -111,6 +113,18 @@ def rides_inside(p: Sequence[Column], v: Sequence[Column]) -> Column:
     return F.coalesce(within & F.when(within, (coverage(p, v) >= 0.85) & ((p[3] - v[1]) / (v[3] - v[1]) <= 0.75)), F.lit(False))
 
 
+def sane(box: Sequence[Column]) -> Column:
+    """A finite box with an area."""
+    x1, y1, x2, y2 = box
+    return reduce(lambda a, b: a & b, map(number, box)) & (x2 > x1) & (y2 > y1)
+
+
+def at_edge(box: Sequence[Column], width: float, height: float, border: float = 3.0) -> Column:
+    """Within ``border`` of any edge of the frame."""
+    x1, y1, x2, y2 = box
+    return (x1 < border) | (y1 < border) | (x2 > width - border) | (y2 > height - border)
+
+
 def reliable_foot(box: Sequence[Column], width: float, height: float) -> Column:
     """The box is not cut off at the left, right or bottom."""
     x1, y1, x2, y2 = box

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -75,3 +77,52 @@ def codes(*flags: tuple[Column, str]) -> Column:
 def reasons(*flags: tuple[Column, str]) -> Column:
     """Names of the flags that hold joined by ``+``, or ``ok``."""
     return F.coalesce(F.nullif(F.concat_ws("+", codes(*flags)), F.lit("")), F.lit("ok"))
+
+
+def has_prefix(c: Column, prefixes: list[str]) -> Column:
+    """Whether a text starts with one of some prefixes."""
+    return reduce(lambda a, b: a | b, [c.startswith(p) for p in prefixes], F.lit(False))
+
+
+def place(c: Column, order: list[str]) -> Column:
+    """Rank of a value in a list; values that are not in it come last."""
+    at = F.array_position(F.array(*map(F.lit, order)), c)
+    return F.when(at > 0, at).otherwise(F.lit(len(order) + 1))
+
+
+def padded_id(stem_: Column, head: Column, k: Column) -> Column:
+    """``stem_head_07``."""
+    return F.format_string("%s_%s_%02d", stem_, head, k)
+
+
+def compact_stamp(at: Column) -> Column:
+    """A time as ``20240131T235959Z``, in the session's zone."""
+    return F.date_format(at, "yyyyMMdd'T'HHmmss'Z'")
+
+
+def appended(items: Column, new: Column) -> Column:
+    """A list with one more value unless it has it."""
+    return F.array_union(items, F.array(new))
+
+
+def list_mean(text: Column, sep: str = " ") -> tuple[Column, Column]:
+    """(mean, mean magnitude) of a text of numbers."""
+    values = F.transform(F.split(F.trim(text), sep), lambda x: x.try_cast("double"))
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
+    return mean(values), mean(F.transform(values, F.abs))
+
+
+def triples_mean(values: Column) -> Column:
+    """Mean of each of three axes of a flat list x, y, z, x, y, z, ..."""
+    n = F.size(values) / 3
+    axis = lambda k: F.aggregate(F.filter(values, lambda v, i: i % 3 == k), F.lit(0.0), lambda a, x: a + x) / n
+    return F.array(*map(axis, range(3)))
+
+
+def colour_score(r: Column, g: Column, b: Column, hue: float, reach: float = 25.0) -> Column:
+    """How strongly a pixel (0 to 255) shows a hue in degrees: saturation times value within ``reach`` of it, else 0."""
+    top, low = F.greatest(r, g, b), F.least(r, g, b)
+    span = top - low
+    angle = F.when(top == r, F.pmod((g - b) / span, F.lit(6.0))).when(top == g, (b - r) / span + 2).otherwise((r - g) / span + 4) * 60
+    off = F.abs(F.pmod(angle - hue + 180, F.lit(360.0)) - 180)
+    return F.when((span > 0) & (off <= reach), span / top * top / 255.0).otherwise(0.0)

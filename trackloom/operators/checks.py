@@ -80,11 +80,36 @@ def label_body(rows: DataFrame, duration: Column, labels: Sequence[str] = LABELS
     return rows.withColumns({"start_s": F.round("start_s", 3), "end_s": end, "note": F.substring(F.coalesce("note", F.lit("")), 1, 2000)})
 
 
-def zone_findings(zones: DataFrame, width: float, height: float) -> DataFrame:
-    """``zones(video, id, type, points array<struct<x, y>>, attrs map)``: ids, duplicates, types, points, frame, attributes."""
+def label_bodies(rows: DataFrame, keys: Sequence[str], duration: Column, labels: Sequence[str] = LABELS) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected): a body (rows of one key) with an unknown label or bad times is rejected whole, with the reason of its first bad row.
+
+    Accepted rows are as ``label_body`` leaves them; sort them by (start_s, end_s, label) where they are written.
+    """
+    times = number(F.col("start_s")) & number(F.col("end_s")) & (F.col("start_s") < F.col("end_s"))
+    why = F.when(F.coalesce(~F.col("label").isin(*labels), F.lit(True)), "unknown label").when(F.coalesce(~times, F.lit(True)), "bad times")
+    rejected = rows.withColumn("__why", why).where("__why is not null").groupBy(*keys).agg(F.min_by("__why", F.struct("start_s", "end_s", "label")).alias("why"))
+    return label_body(rows.join(rejected.drop("why"), list(keys), "left_anti"), duration, labels), rejected
+
+
+def optional(df: DataFrame, t: str = "t", until: float | None = None, **chosen: Sequence | None) -> DataFrame:
+    """Only the chosen values of each named column and times before ``until``; None filters nothing."""
+    for name, values in chosen.items():
+        if values is not None:
+            df = df.where(F.col(name).isin(*values))
+    return df if until is None else df.where(F.col(t) < until)
+
+
+def emptied(log: DataFrame, lists: Sequence[str], factor: float = 3.0) -> DataFrame:
+    """``within_budget`` with the lists of videos over their time made empty."""
+    out = within_budget(log, factor)
+    return out.withColumns({c: F.when(F.col("kept"), F.col(c)).otherwise(F.filter(c, lambda x: F.lit(False))) for c in lists})
+
+
+def zone_findings(zones_: DataFrame, width: float, height: float, zones: int = 500, points: int = 1000) -> DataFrame:
+    """``zones_(video, id, type, points array<struct<x, y>>, attrs map)``: ids, duplicates, types, points, frame, attributes; at most ``zones`` a video, of ``points`` each."""
     kinds = [(t, least, k, v) for t, (_, least, attrs) in ZONES.items() for k, v in (attrs or {"": []}).items()]
-    table = zones.sparkSession.createDataFrame([(t, least) for t, least in {t: n for t, n, _, _ in kinds}.items()], "type string, least int")
-    rows = zones.join(F.broadcast(table), "type", "left").withColumn("same", F.count("*").over(Window.partitionBy("video", "id")))
+    table = zones_.sparkSession.createDataFrame([(t, least) for t, least in {t: n for t, n, _, _ in kinds}.items()], "type string, least int")
+    rows = zones_.join(F.broadcast(table), "type", "left").withColumn("same", F.count("*").over(Window.partitionBy("video", "id")))
     outside = ~F.forall("points", lambda p: p["x"].between(0, width) & p["y"].between(0, height))
     def fits(kind: str, name: str, values: list[str]) -> Column:
         own = F.forall(F.map_entries("attrs"), lambda e: (e["key"] == name) & e["value"].isin(*values)) if name else F.size(F.map_keys("attrs")) == 0
@@ -93,7 +118,7 @@ def zone_findings(zones: DataFrame, width: float, height: float) -> DataFrame:
     allowed = reduce(lambda a, b: a | b, [fits(t, k, v) for t, _, k, v in kinds], F.size(F.map_keys("attrs")) == 0)
     return union([
         finding(rows, ~F.col("id").rlike("^[A-Za-z0-9_-]{1,64}$"), "bad id"), finding(rows, F.col("same") > 1, "id used twice"), finding(rows, F.col("least").isNull(), "unknown type"),
-        finding(rows, F.size("points") < F.col("least"), "too few points"), finding(rows, outside, "outside the frame"), finding(rows, F.col("least").isNotNull() & ~allowed, "bad attribute"),
+        finding(rows, F.size("points") < F.col("least"), "too few points"), finding(rows, outside, "outside the frame"), finding(rows, F.size("points") > points, "too many points"), finding(zones_.groupBy("video").count().where(F.col("count") > zones), F.lit(True), "too many zones"), finding(rows, F.col("least").isNotNull() & ~allowed, "bad attribute"),
     ])
 
 

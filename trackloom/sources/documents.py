@@ -5,6 +5,11 @@ Schemas are declared, never inferred. JSON documents have videos as keys, so the
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,11 +62,12 @@ def write_document(df: DataFrame, path: str) -> None:
 
 
 def read_tracks(spark: SparkSession, paths: str | list[str], schema: str = SURVEY_TRACKS, until: float | None = None) -> DataFrame:
-    """Track files; ``stem`` is the file's name without suffix, or its folder's if the file is called tracks_kaggle."""
+    """Track files; ``stem`` is the file's name without suffix, or its folder's if the file is called tracks_kaggle or the folder says ``stem=``."""
     df = spark.read.schema(schema).csv(paths, header=True)
     name = F.input_file_name()
     own, folder = F.regexp_extract(name, r"([^/]+?)\.[^./]*$", 1), F.regexp_extract(name, r"([^/]+)/[^/]+$", 1)
-    df = df.withColumn("stem", F.when(own == "tracks_kaggle", folder).otherwise(own))
+    if "stem" not in df.columns:  # else the folders name it
+        df = df.withColumn("stem", F.when(own == "tracks_kaggle", folder).otherwise(own))
     return df if until is None else df.where(F.col("t_sec") < until)
 
 
@@ -123,6 +129,46 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
+def write_tracks(df: DataFrame, path: str) -> None:
+    """Track files by ``stem``: one folder a stem, so a reader prunes to the videos that it wants."""
+    df.write.mode("overwrite").partitionBy("stem").option("header", True).csv(path)
+
+
+def strided(df: DataFrame, frame: str, stride: int) -> DataFrame:
+    """Every ``stride``-th frame."""
+    return df.where(F.col(frame) % stride == 0)
+
+
+def sought(df: DataFrame, frame: str, at: int) -> DataFrame:
+    """One frame."""
+    return df.where(F.col(frame) == at)
+
+
+def read_dump(spark: SparkSession, path: str) -> DataFrame:
+    """A saved dump of embedded metadata: one JSON object of ``DocN:Tag`` keys, as ``tags``."""
+    return _whole(spark, path, "map<string, string>").withColumnRenamed("doc", "tags")
+
+
+def read_npz(spark: SparkSession, path: str, pattern: str = "*.npz") -> DataFrame:
+    """Arrays of npz stacks: ``path, name, shape, data`` (flattened doubles), a row an array."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name, content in zip(batch["path"], batch["content"]):
+                with np.load(io.BytesIO(content), allow_pickle=False) as stack:
+                    out += [(name, k, list(stack[k].shape), stack[k].astype(float).ravel()) for k in stack.files]
+            yield pd.DataFrame(out, columns=["path", "name", "shape", "data"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, name string, shape array<long>, data array<double>")
+
+
+def temporal_median(pixels: DataFrame, at: Sequence[str] = ("x", "y"), value: str = "value") -> DataFrame:
+    """Background of a fixed camera: the median of each pixel over its frames, and how far the middle half of them spreads."""
+    return pixels.groupBy(*at).agg(F.median(value).alias("median"), (F.percentile(value, F.lit(0.75)) - F.percentile(value, F.lit(0.25))).alias("activity"))
+
+
 def unpack_tags(df: DataFrame, column: str = "tags") -> DataFrame:
     """``map<'DocN:Tag', value>`` rows to one row a document and tag: ``row`` is N - 1."""
     rows = df.select(*[c for c in df.columns if c != column], F.explode(column).alias("key", "value"))

@@ -1,12 +1,16 @@
 """Versioned documents: an append-only history, the current version of each key, optimistic saves.
 
-History rows are ``key, version, body, editor, saved_at``. A store has a single writer at a time.
+History rows are ``key, version, body, editor, saved_at``. Each version is claimed by a file that must not exist yet, so of
+two savers of one version exactly one succeeds, on any store that creates files exclusively.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +52,8 @@ class Store:
     def history(self) -> DataFrame:
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(at) or not any(x.getPath().getName().startswith("part-") for x in fs.listStatus(at)):
             return self.spark.createDataFrame([], HISTORY)
         return self.spark.read.schema(HISTORY).parquet(self.path)
 
@@ -63,10 +68,28 @@ class Store:
             raise Conflict(f"{key}: base {base}, current {version}")
         if now and now.body == body:
             return version
+        claim = self._claim(key, version + 1)
         row = self.spark.createDataFrame([(key, version + 1, body, editor, note)], "key string, version long, body string, editor string, note string")
-        row.withColumn("saved_at", F.current_timestamp()).write.mode("append").parquet(self.path)
+        try:
+            row.withColumn("saved_at", F.current_timestamp()).write.mode("append").parquet(self.path)
+        except Exception:
+            claim()  # nothing was saved under it
+            raise
         return version + 1
 
+    def _claim(self, key: str, version: int) -> Callable[[], None]:
+        """Create the version's claim, or raise Conflict if another saver has; what is returned gives it up."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_claims/{hashlib.sha256(key.encode()).hexdigest()}-{version}")
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            fs.create(at, False).close()
+        except Py4JJavaError as e:
+            if fs.exists(at):
+                raise Conflict(f"{key}: version {version} is being saved by another") from e
+            raise
+        return lambda: fs.delete(at, False)
+
     def editors(self) -> DataFrame:
         """Who ever saved each key, in order of name."""
         return self.history().where("editor <> ''").groupBy("key").agg(F.array_sort(F.collect_set("editor")).alias("editors"))
