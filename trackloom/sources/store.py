@@ -83,7 +83,13 @@ class Store:
         at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_claims/{hashlib.sha256(key.encode()).hexdigest()}-{version}")
         fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         try:
-            fs.create(at, False).close()
+            if fs.getScheme() == "file":  # Hadoop's local files are not created exclusively, Java's are
+                fs.mkdirs(at.getParent())
+                file = jvm.java.io.File(at.toUri().getPath())
+                if not file.createNewFile():
+                    raise Conflict(f"{key}: version {version} is being saved by another")
+            else:
+                fs.create(at, False).close()
         except Py4JJavaError as e:
             if fs.exists(at):
                 raise Conflict(f"{key}: version {version} is being saved by another") from e
