@@ -38,7 +38,7 @@ def test_quality_drops_what_it_rejects(stages):
 
 def test_one_document_of_each_group_stays(stages):
     a, b = stages["near_dedup"]
-    groups = {r.doc_id: r.component_id for r in simhash.near_groups(a).collect()}
+    groups = {r.doc_id: r.component_id for r in simhash.similar_groups(a).collect()}
     assert ids(b) == sorted(set(groups.values())) and len(ids(b)) < len(groups)
 
 
