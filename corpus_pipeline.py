@@ -48,7 +48,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     if odd:
         docs = _distinct_rows(docs)
     name = _MARK if odd else "doc_id"
-    groups = simhash.near_groups(docs.select(F.col(name).alias("doc_id"), "text"))
+    groups = simhash.similar_groups(docs.select(F.col(name).alias("doc_id"), "text"))
     stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias(name))
     return docs.join(stay, name, "left_semi").select(*columns)
 
