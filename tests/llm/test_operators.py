@@ -162,6 +162,16 @@ def test_mix_comes_near_its_targets(spark, odd):
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_rows_without_ids_are_dealt_by_their_text(spark):
+    rows = [(None, "w " * (1 + i * 7919 % 97) + str(i), f"s{i % 3}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    a, b = (sorted(tuple(r)[1:] for r in mixing.mix(d, bucket=100).collect()) for d in (df, df.repartition(7)))
+    assert a == b and len(a) == len(rows)
+    got = pd.DataFrame(a, columns=["source", "size", "source_size", "target", "copies", "taken"])
+    for _, g in got.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) < 0.03 * g.target.iloc[0]
+
+
 # --- decontamination -------------------------------------------------------------------------
 
 

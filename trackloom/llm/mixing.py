@@ -10,7 +10,8 @@ expected size, and only bucket counts are summed across buckets. A source with a
 spread over its buckets. Offsets have 20 binary digits, so sums stay exact.
 
 Null texts have size 0. A source without words gets target 0 and no copies. A null source is a source of
-its own, last in order. Repeated doc_ids are separate rows. An empty table gives an empty result.
+its own, last in order. Repeated doc_ids are separate rows; buckets are dealt by id and text,
+so that rows without an id, or of one id, do not meet in one bucket (rows equal in both do). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,19 +46,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return rows.select("source", "source_size", F.when(free > F.col("cap"), F.col("cap").cast("double")).otherwise(F.coalesce(free, F.lit(0.0))).alias("target"))
 
 
-def _hashed(seed: int, name: str, digits: int) -> Column:
+def _hashed(seed: int, value: Column, digits: int) -> Column:
     """The first hexadecimal digits of an MD5 of seed and value, as a number: the same in any engine."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(name).cast("string"), F.lit("")))
+    text = F.concat(F.lit(f"{seed}:"), value)
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("long")
 
 
 def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, bucket: int = BUCKET) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` of every row."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    sized = docs.select("doc_id", "source", n_words("text").alias("size"))
+    # the text counts too, so that rows without an id, or of the same id, are dealt over all buckets
+    own = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    sized = docs.select("doc_id", "source", n_words("text").alias("size"), own.alias("own"))
     # the size class is the binary length of the size; a class has n / bucket + 1 hashed parts
     kind = F.length(F.bin("size"))
-    sized = scratch.keep(sized.withColumn("kind", kind).withColumn("mark", _hashed(seed, "doc_id", 15)), "sizes")
+    sized = scratch.keep(sized.withColumn("kind", kind).withColumn("mark", _hashed(seed, F.col("own"), 15)).drop("own"), "sizes")
     classes = sized.groupBy("source", "kind").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     goal = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     parts = classes.select(F.col("source").alias("s"), F.col("kind").alias("k"), (F.col("n") / bucket).cast("int").alias("parts"))
@@ -72,7 +75,7 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, most
     rows = rows.withColumn("at", F.row_number().over(within))
     rows = rows.join(counts, rows.source.eqNullSafe(counts.s) & (rows.kind == counts.k) & (rows.part == counts.p))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = _hashed(seed, "source", 5) / F.lit(float(1 << 20))
+    offset = _hashed(seed, F.coalesce("source", F.lit("")), 5) / F.lit(float(1 << 20))
     end = F.col("ahead") + F.col("at")
     copies = F.least(F.floor(end * each + offset) - F.floor((end - 1) * each + offset), F.lit(most))
     out = rows.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
@@ -82,8 +85,8 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, most
 
 
 #: DuckDB's form of ``mix`` with default parameters over documents.
-ORACLE = r"""WITH s AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
- m AS (SELECT *, length(bin(size)) AS kind, ('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT AS mark FROM s),
+ORACLE = r"""WITH s AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS body FROM documents),
+ m AS (SELECT *, length(bin(size)) AS kind, ('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || body), 1, 15))::BIGINT AS mark FROM s),
  c AS (SELECT source, kind, count(*) // 4000 AS parts FROM m GROUP BY ALL), src AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
  w AS (SELECT *, [1, 2, 3][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1] AS weight, 3 * source_size AS cap FROM src),
  l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
