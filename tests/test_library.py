@@ -4,6 +4,7 @@ import json
 import random
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import pytest
@@ -59,6 +60,55 @@ def test_matching_as_brute_force(spark):
             assert got[(v, thr)] == (tp, len(p) - tp, len(g) - tp)
 
 
+def test_matching_in_narrow_bands_and_with_equal_segments(spark, monkeypatch):
+    rng = random.Random(8)
+    make = lambda n: [(s, s + rng.choice([0.0, -1.0, 0.25, 2.0, rng.random() * 9])) for s in (rng.choice([rng.random() * 20, float(rng.randint(0, 20))]) for _ in range(n)) for _ in range(rng.randint(1, 3))]
+    data = {v: (make(25), make(20)) for v in range(8)}
+    rows = lambda k: [(v, *x) for v, d in data.items() for x in d[k]]
+    gt, pred = (spark.createDataFrame(rows(k) + [(None, 1.0, 2.0), (k, None, 2.0)], "video int, start_s double, end_s double") for k in (0, 1))
+    got = {(r.video, r.thr): r.tp for r in intervals.greedy_matches(gt, pred, ["video"], metrics.THRESHOLDS).collect()}
+    pairs = intervals.pairs_by_iou(*(metrics.ordinals(d.dropna().where("end_s >= start_s"), ["video"]) for d in (gt, pred)), ["video"], 0.3).collect()
+    monkeypatch.setattr(intervals, "BLOCK", 7)
+    monkeypatch.setattr(intervals, "PAIRS", 5)
+    for v, sides in data.items():
+        arrays = [c for d in sides for c in ([x[0] for x in d if x[1] > x[0]], [x[1] for x in d if x[1] > x[0]], [1 for x in d if x[1] > x[0]])]
+        narrow = intervals._count_matches(*arrays, list(metrics.THRESHOLDS))
+        for k, thr in enumerate(metrics.THRESHOLDS):
+            a, b = set(), set()
+            for _, i, j in sorted(((p.iou, p.i, p.j) for p in pairs if p.video == v and p.iou >= thr), reverse=True):
+                if i not in a and j not in b:
+                    a.add(i)
+                    b.add(j)
+            assert got[(v, thr)] == narrow[k] == len(a)
+
+
+def test_score_of_thousands_of_segments_and_alarms_at_one_place(spark):
+    """None of the parts may pair all that meet: 36 million pairs of segments, and as many of accidents and marks."""
+    n = 6000
+    gt = spark.range(n).select(F.lit("v").alias("video"), F.lit("accident").alias("label"), F.lit(20.0).alias("start_s"), F.lit(26.0).alias("end_s"))
+    began = time.perf_counter()
+    assert [(r.tp, r.fp, r.fn) for r in metrics.match_counts(gt, gt, ["video", "label"]).collect()] == [(n, 0, 0)] * 3
+    starts = spark.range(n).select(F.lit("v").alias("video"), (15 + F.col("id") / n).alias("t"))
+    matched = metrics.alarm_matches(gt, starts).agg(F.count("mark"), F.countDistinct("mark"), F.max("mark")).first()
+    assert tuple(matched) == (n, n, 15 + (n - 1) / n)
+    assert time.perf_counter() - began < 40
+
+
+def test_sample_labels_as_brute_force_and_without_a_join(spark):
+    rng = random.Random(5)
+    spans = [(rng.choice("ab"), rng.choice(["accident", "near_miss", "red_light"]), s, s + rng.choice([-7, -2, 0, 3, 9])) for s in (float(rng.randint(0, 300)) for _ in range(40))]
+    gt = spark.createDataFrame(spans + [("a", "accident", None, 9.0), ("a", "near_miss", 9.0, None), (None, "accident", 1.0, 90.0)], "video string, label string, start_s double, end_s double")
+    risk = spark.createDataFrame([(v, float(t), t % 7 / 7) for v in ("a", "b", "c", None) for t in range(-5, 320)] + [("a", None, 0.5)], "video string, t double, score double")
+    labelled = metrics.sample_labels(risk, gt)
+    assert "Join" not in labelled._jdf.queryExecution().executedPlan().toString()
+    rows = labelled.collect()
+    assert len(rows) == risk.count() and labelled.columns == ["video", "t", "score", "label"]
+    for r in rows:
+        hit = {(k, r.t >= s) for v, k, s, e in spans if v == r.video and r.t is not None and s - metrics.HORIZON <= r.t <= e}
+        want = None if ("accident", True) in hit else 1 if ("accident", False) in hit else None if hit & {("near_miss", True), ("near_miss", False)} else 0
+        assert r.label == want, r
+
+
 def test_model_score_of_a_perfect_and_an_empty_prediction(spark):
     gt = spark.createDataFrame([("v", "accident", 20.0, 26.0), ("v", "red_light", 5.0, 8.0)], "video string, label string, start_s double, end_s double")
     risk = spark.createDataFrame([("v", float(t), 0.9 if 15 <= t < 20 else 0.1) for t in range(60)], "video string, t double, score double")

@@ -1,13 +1,16 @@
 """Interval algebra and ordered folds.
 
 Every operator takes the key columns that separate independent sequences. Windows are partitioned by them,
-folds collect one array per key and fold it with ``aggregate``, in the JVM. Endpoint conventions are stated with each.
+folds collect one array per key and fold it with ``aggregate``, in the JVM; matchings scan their arrays in numpy, where a fold would copy its
+state at each step. Endpoint conventions are stated with each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,36 +90,116 @@ def _bucketed(df: DataFrame, start: str, end: str, width: float) -> DataFrame:
     return df.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
 
 
-def greedy_matches(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``keys, tp``: one-to-one matches by descending (iou, i, j), so larger ordinals win ties."""
-    start = F.from_json(F.lit('{"g": [], "p": []}'), "g array<bigint>, p array<bigint>")
+def greedy_matches(gt: DataFrame, pred: DataFrame, keys: Sequence[str], thresholds: Sequence[float]) -> DataFrame:
+    """``keys, thr, tp``: one-to-one matches by descending (iou, i, j) with an IoU of at least ``thr`` (above 0); i and j are ordinals by (start_s, end_s), so larger ones win ties.
+
+    The matches of a threshold are the first of a lower one's, so a single pass counts for all. Equal segments are one with a count, and pairs are
+    made in each key's task, from segments that are still free (``_count_matches``). Segments that do not end after their start match nothing.
+    """
+    levels = [float(t) for t in thresholds]
+    if min(levels) <= 0:
+        raise ValueError("thresholds must be above 0")
+
+    def lists(df: DataFrame, side: str) -> DataFrame:
+        alike = df.where("end_s > start_s").groupBy(*keys, F.col("start_s").cast("double").alias("s"), F.col("end_s").cast("double").alias("e")).agg(F.count("*").alias("n"))
+        own = alike.groupBy(*keys).agg(F.collect_list(F.struct("s", "e", "n")).alias("all"))
+        return own.select(*keys, *(F.col(f"all.{c}").alias(f"{side}_{c}") for c in ("s", "e", "n")))
+
+    @F.pandas_udf("array<bigint>")
+    def count(g0: pd.Series, g1: pd.Series, gn: pd.Series, p0: pd.Series, p1: pd.Series, pn: pd.Series) -> pd.Series:
+        return pd.Series([_count_matches(*x, levels) for x in zip(g0, g1, gn, p0, p1, pn)], dtype=object)
+
+    both = lists(gt, "g").join(lists(pred, "p"), list(keys)).select(*keys, count("g_s", "g_e", "g_n", "p_s", "p_e", "p_n").alias("tps"))
+    return both.select(*keys, F.explode(F.arrays_zip(F.array(*map(F.lit, levels)).alias("thr"), F.col("tps").alias("tp"))).alias("x")).select(*keys, "x.thr", "x.tp")
 
-    def step(acc: Column, x: Column) -> Column:
-        used = F.array_contains(acc["g"], x["i"]) | F.array_contains(acc["p"], x["j"])
-        return F.when(used, acc).otherwise(F.struct(F.array_append(acc["g"], x["i"]).alias("g"), F.array_append(acc["p"], x["j"]).alias("p")))
 
-    lists = pairs.groupBy(*keys).agg(F.collect_list(F.struct("iou", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"))).alias("all"))
-    return lists.select(*keys, F.size(F.aggregate(F.reverse(F.array_sort("all")), start, step)["g"]).cast("long").alias("tp"))
+#: Candidates looked at together, and pairs of one band of IoU held together, within a task.
+BLOCK, PAIRS = 1 << 21, 1 << 22
+
+
+def _count_matches(g0, g1, gn, p0, p1, pn, levels: list[float]) -> list[int]:
+    """Greedy matches of one key at each level; ``n`` counts equal segments.
+
+    The IoU goes down in bands: the pairs of a band are made from segments that are still free, and taken in order. Bands become narrower where a
+    band holds more than ``PAIRS``. Of equal segments any is as good, so a pair of them takes as many as both have left.
+    """
+
+    def side(s, e, n):
+        s, e, n = np.asarray(s, float), np.asarray(e, float), np.asarray(n, int)
+        order = np.lexsort((e, s))
+        return s[order], e[order], n[order].tolist()
+
+    (g0, g1, gn), (p0, p1, pn) = side(g0, g1, gn), side(p0, p1, pn)
+    least, high, step, tp = min(levels), 1.0, 1 / 16, [0] * len(levels)
+    while True:
+        low = max(least, high - step)
+        i, j = np.flatnonzero(gn), np.flatnonzero(pn)
+        found = _pairs_from(g0[i], g1[i], p0[j], p1[j], low, PAIRS if step > 1e-6 else None)
+        if found is None:
+            step /= 4
+            continue
+        iou, i, j = found[0], i[found[1]], j[found[2]]
+        order = np.lexsort((-j, -i, -iou))
+        for at in range(0, len(order), BLOCK):
+            now = order[at : at + BLOCK]
+            for o, a, b in zip(iou[now].tolist(), i[now].tolist(), j[now].tolist()):
+                if m := min(gn[a], pn[b]):
+                    gn[a] -= m
+                    pn[b] -= m
+                    tp = [t + m if o >= level else t for t, level in zip(tp, levels)]
+        if low <= least:
+            return tp
+        high, step = low, min(1 / 16, step * 2)
+
+
+def _pairs_from(g0, g1, p0, p1, low: float, most: int | None):
+    """IoU and positions of all pairs of at least ``low``; None if they are more than ``most``. Both sides are ordered by start.
+
+    A pair with that IoU starts at most ``length (1 - low) / low`` before and ``length (1 - low)`` after the first segment's start; the slack covers rounding.
+    """
+    size, slack = g1 - g0, 1e-9 * (g1 - g0) + 1e-12 * np.abs(g0)
+    first = np.searchsorted(p0, g0 - size * ((1 - low) / low) - slack, "left") if low < 1 else np.searchsorted(p0, g0 - slack, "left")
+    n = np.searchsorted(p0, g0 + size * max(0.0, 1 - low) + slack, "right") - first
+    upto, out, held, at = np.cumsum(n), [], 0, 0
+    while at < len(n):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK, "right")))
+        i = np.repeat(np.arange(at, end), n[at:end])
+        j = np.arange(len(i)) - np.repeat(upto[at:end] - n[at:end] - (upto[at - 1] if at else 0), n[at:end]) + np.repeat(first[at:end], n[at:end])
+        both = np.minimum(g1[i], p1[j]) - np.maximum(g0[i], p0[j])
+        iou = both / (size[i] + (p1[j] - p0[j]) - both)
+        keep = np.flatnonzero(iou >= low)
+        out.append((iou[keep], i[keep], j[keep]))
+        held, at = held + len(keep), end
+        if most and held > most:
+            return None
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0), np.empty(0, int), np.empty(0, int))
 
 
 def match_windows(targets: DataFrame, marks: DataFrame, keys: Sequence[str], before: float) -> DataFrame:
     """Targets in time order take the earliest mark not yet taken in ``[start - before, start)``.
 
-    ``targets(keys, start_s)``, ``marks(keys, t)`` -> every target with ``mark`` (null if none).
+    ``targets(keys, start_s)``, ``marks(keys, t)`` -> every target with ``mark`` (null if none). Windows only move on, so marks are gone through once.
     """
     own = targets.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("start_s").cast("double"))).alias("targets"))
-    other = marks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("t").cast("double"))).alias("marks"))
-    start = F.struct(F.coalesce("marks", F.from_json(F.lit("[]"), "array<double>")).alias("left"), F.from_json(F.lit("[]"), "array<struct<s:double,m:double>>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fit = F.filter(acc["left"], lambda m: (m >= s - before) & (m < s))
-        first = F.get(fit, F.lit(0))
-        at = F.array_position(acc["left"], first).cast("int")
-        rest = F.when(first.isNull(), acc["left"]).otherwise(F.concat(F.slice(acc["left"], F.lit(1), at - 1), F.slice(acc["left"], at + 1, F.greatest(F.size(acc["left"]) - at, F.lit(0)))))
-        return F.struct(rest.alias("left"), F.array_append(acc["out"], F.struct(s.alias("s"), first.alias("m"))).alias("out"))
-
-    folded = own.join(other, list(keys), "left").select(*keys, F.explode(F.aggregate("targets", start, step)["out"]).alias("x"))
-    return folded.select(*keys, F.col("x.s").alias("start_s"), F.col("x.m").alias("mark"))
+    other = marks.groupBy(*keys).agg(F.collect_list(F.col("t").cast("double")).alias("marks"))
+
+    def scan(starts: np.ndarray, free: np.ndarray) -> list[float | None]:
+        free, at, out = np.sort(free).tolist(), 0, []
+        for s in starts:
+            while at < len(free) and free[at] < s - before:
+                at += 1
+            taken = at < len(free) and free[at] < s
+            out.append(free[at] if taken else None)
+            at += taken
+        return out
+
+    @F.pandas_udf("array<double>")
+    def take(starts: pd.Series, free: pd.Series) -> pd.Series:
+        return pd.Series([scan(*x) for x in zip(starts, free)], dtype=object)
+
+    none = F.array().cast("array<double>")
+    taken = own.join(other, list(keys), "left").select(*keys, "targets", take("targets", F.coalesce("marks", none)).alias("marks"))
+    return taken.select(*keys, F.explode(F.arrays_zip("targets", "marks")).alias("x")).select(*keys, F.col("x.targets").alias("start_s"), F.col("x.marks").alias("mark"))
 
 
 def interval_lookup(points: DataFrame, intervals: DataFrame, keys: Sequence[str], t: str, start: str, end: str, width: float, how: str = "inner") -> DataFrame:

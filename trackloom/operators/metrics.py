@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.functions.scalars import f1, ratio
-from trackloom.operators.intervals import coalesce_intervals, greedy_matches, match_windows, pairs_by_iou
+from trackloom.operators.intervals import coalesce_intervals, greedy_matches, match_windows
 from trackloom.operators.windows import ordered
 
 THRESHOLDS = (0.3, 0.5, 0.7)
@@ -23,11 +23,9 @@ def ordinals(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def match_counts(gt: DataFrame, pred: DataFrame, keys: list[str], thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
-    """``keys, thr, tp, fp, fn``. Pairs are found once, at the lowest threshold, and folded for each."""
-    gt, pred = ordinals(gt, keys), ordinals(pred, keys)
-    pairs = pairs_by_iou(gt, pred, keys, min(thresholds))
+    """``keys, thr, tp, fp, fn`` of every key of either side."""
     levels = F.explode(F.array(*map(F.lit, thresholds))).alias("thr")
-    matched = greedy_matches(pairs.select("*", levels).where("iou >= thr"), [*keys, "thr"])
+    matched = greedy_matches(gt, pred, keys, thresholds)
     counts = gt.select(*keys, F.lit(1).alias("g"), F.lit(0).alias("p")).unionByName(pred.select(*keys, F.lit(0).alias("g"), F.lit(1).alias("p")))
     counts = counts.groupBy(*keys).agg(F.sum("g").alias("n_gt"), F.sum("p").alias("n_pred")).select("*", levels)
     out = counts.join(matched, [*keys, "thr"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)).cast("long"))
@@ -46,21 +44,26 @@ def class_scores(per_class: DataFrame) -> DataFrame:
     return per_class.groupBy("label").agg(F.avg("f1").alias("f1_mean"))
 
 
-def sample_labels(risk: DataFrame, gt: DataFrame, horizon: float = HORIZON, width: float = 3600.0) -> DataFrame:
+def sample_labels(risk: DataFrame, gt: DataFrame, horizon: float = HORIZON) -> DataFrame:
     """Label of each risk sample: 1 before an accident, 0 elsewhere; samples inside an accident or around a near miss are null.
 
-    Accidents are closed intervals, the window before is half-open. Windows are joined by time buckets.
+    Accidents are closed intervals, the window before is half-open. One union and one window: of the spans that have begun at a sample, only the
+    furthest end counts, so samples and spans are never paired.
     """
-    near = gt.where(F.col("label").isin("accident", "near_miss"))
-    spans = near.select("video", "label", "start_s", "end_s", (F.col("start_s") - horizon).alias("from_s"))
-    spans = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("from_s") / width), F.floor(F.col("end_s") / width))))
-    hit = risk.withColumn("bucket", F.floor(F.col("t") / width)).join(spans, ["video", "bucket"]).where("t >= from_s and t <= end_s")
-    accident = F.col("label") == "accident"
-    flags = hit.groupBy("video", "t").agg(
-        F.max(accident & (F.col("t") >= F.col("start_s"))).alias("during"), F.max(accident & (F.col("t") < F.col("start_s"))).alias("before"), F.max(~accident).alias("near"),
-    )
-    value = F.when(F.col("during"), F.lit(None)).when(F.col("before"), 1).when(F.col("near"), F.lit(None)).otherwise(0)
-    return risk.join(flags, ["video", "t"], "left").withColumn("label", F.when(F.col("during").isNull(), 0).otherwise(value)).drop("during", "before", "near")
+    accident, well = F.col("label") == "accident", F.col("end_s") >= F.col("start_s")
+    spans = gt.where(F.col("label").isin("accident", "near_miss")).where("video is not null").withColumn("from_s", F.col("start_s") - horizon)
+    opened = spans.select("video", F.col("from_s").alias("__t"), F.when(accident & well, F.col("start_s")).alias("__before"), F.when(accident & ~well, F.col("end_s")).alias("__short"), F.when(~accident, F.col("end_s")).alias("__near"))
+    during = spans.where(accident).select("video", F.col("start_s").alias("__t"), F.col("end_s").alias("__during"))
+    ends = ["__before", "__short", "__near", "__during"]
+    marks = opened.unionByName(during, allowMissingColumns=True).where("__t is not null").groupBy("video", "__t").agg(*(F.max(c).alias(c) for c in ends))
+    rows = risk.select("video", F.col("t").alias("__t"), F.lit(1).alias("__side"), F.struct(*risk.columns).alias("__row"))
+    both = rows.unionByName(marks.withColumn("__side", F.lit(0)), allowMissingColumns=True)
+    w = ordered(["video"], "__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.select("*", *(F.max(c).over(w).alias(f"{c}_upto") for c in ends)).where("__side = 1")
+    t = F.col("__t")
+    before = (F.col("__before_upto") > t) | (F.col("__short_upto") >= t)
+    label = F.when(F.col("__during_upto") >= t, F.lit(None)).when(before, 1).when(F.col("__near_upto") >= t, F.lit(None)).otherwise(0)
+    return both.select("__row.*", label.alias("label"))
 
 
 def average_precision(samples: DataFrame) -> DataFrame:
