@@ -1,5 +1,6 @@
 """Interval properties, matching against brute force, timelines, sources, store, clustering, isolation."""
 
+import hashlib
 import json
 import random
 import subprocess
@@ -12,6 +13,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from trackloom import registry
 from trackloom.operators import checks, clusters, intervals, metrics, scene, signal, stats
 from trackloom.sources import documents, store
 
@@ -192,6 +194,21 @@ def test_documents_round_trip(spark, tmp_path):
     assert ev.count() == 1 and [(r.t, r.score) for r in risk.orderBy("pos").collect()] == [(0.0, 0.1), (1.0, 0.7)]
 
 
+def test_entries_of_a_folder_whose_tables_are_files_or_folders(spark, tmp_path):
+    root = tmp_path / "x.parquet" / "a b"
+    for name, text in {"one.parquet": "1", "two.parquet/part-1": "22", "two.parquet/part-0.parquet": "2", "two.parquet/k=1/part-0.parquet": "3", "two.parquet/_SUCCESS": "", "notes.txt": "n"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    lines = "\n".join(f"{k} {sha(v)}" for k, v in [("k=1/part-0.parquet", "3"), ("part-0.parquet", "2"), ("part-1", "22")])
+    want = [("one.parquet", 1, sha("1")), ("two.parquet", 3, sha(lines))]
+    for path in (str(root), f"file://{root}/"):
+        assert [tuple(r) for r in documents.entries(spark, path, "*.parquet").collect()] == want
+    assert documents.entries(spark, str(root), "*.csv").collect() == []
+    assert [tuple(r) for r in registry.QUERIES["file_listing"](spark, str(root)).collect()] == [("one", 64), ("two", 64)]
+    assert documents.listing(spark, str(root), "*.parquet").count() == documents.checksums(spark, str(root), "*.parquet").count() == 3
+
+
 def test_small_sources(spark, tmp_path):
     assert sorted(r.frame for r in documents.frame_ranges(spark, "0:10:4,8,20").collect()) == [0, 4, 8, 20]
     assert sorted(r.frame for r in documents.even_frames(spark, 9, 4).collect()) == [0, 3, 6, 9]

@@ -47,10 +47,8 @@ def label_documents(spark, sf_dir):
 
 @catalog.add("SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) AS stem, 64 AS digits")
 def file_listing(spark, sf_dir):
-    """Files of a folder by suffix, in order, with their checksums."""
-    names = documents.listing(spark, sf_dir, "*.parquet").select("path")
-    sums = documents.checksums(spark, sf_dir, "*.parquet")
-    return names.join(sums, "path").select(scalars.stem(F.element_at(F.split("path", "/"), -1)).alias("stem"), F.length("sha256").alias("digits"))
+    """Tables of a folder by suffix, in order, with their checksums; a table may be a file or a folder of part files."""
+    return documents.entries(spark, sf_dir, "*.parquet").select(scalars.stem(F.col("name")).alias("stem"), F.length("sha256").alias("digits"))
 
 
 @catalog.add(EV + ", f AS (SELECT DISTINCT unnest(list_concat(list_concat(range(0, 2000, 7), [2500]), range(3000, 3100))) AS frame) SELECT frame, count(*) AS n FROM ev JOIN f ON f.frame = CAST(floor(t / 600.0) AS BIGINT) GROUP BY 1")

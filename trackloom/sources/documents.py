@@ -88,8 +88,28 @@ def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def checksums(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """SHA-256 of each file."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    """SHA-256 of each file below a path."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def entries(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """``name, n_files, sha256`` of a folder's files and folders whose name fits, sorted.
+
+    A folder (as a table of several part files is) counts as one: its sum is taken over lines of name and sum of all files in it, in order. Folders
+    without files, and files that Spark's readers pass over (``_`` or ``.`` first), are left out.
+    """
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, pattern)):  # None or no entries: Spark would raise
+        return spark.createDataFrame([], "name string, n_files long, sha256 string")
+    own = fs.makeQualified(root).depth() + 2
+    parts = F.split(F.regexp_replace("path", r"^[A-Za-z][\w+.-]*:(//[^/]*)?", ""), "/")
+    inner = F.array_join(F.slice(parts, own + 1, F.size(parts)), "/")
+    rows = checksums(spark, f"{path.rstrip('/')}/{pattern}").select(F.element_at(parts, own).alias("name"), F.struct(inner.alias("inner"), "sha256").alias("file"))
+    lists = rows.groupBy("name").agg(F.count("*").alias("n_files"), F.array_sort(F.collect_list("file")).alias("files"))
+    lines = F.array_join(F.transform("files", lambda f: F.concat_ws(" ", f["inner"], f["sha256"])), "\n")
+    whole = F.when(F.get("files", F.lit(0))["inner"] == "", F.get("files", F.lit(0))["sha256"]).otherwise(F.sha2(lines, 256))
+    return lists.select("name", "n_files", whole.alias("sha256")).orderBy("name")
 
 
 def frame_ranges(spark: SparkSession, spec: str) -> DataFrame:
