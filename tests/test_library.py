@@ -209,6 +209,18 @@ def test_entries_of_a_folder_whose_tables_are_files_or_folders(spark, tmp_path):
     assert documents.listing(spark, str(root), "*.parquet").count() == documents.checksums(spark, str(root), "*.parquet").count() == 3
 
 
+def test_checksums_of_files_that_are_no_single_value(spark, tmp_path):
+    texts = {"a b.bin": b"x" * 5000, "c.bin": b"\x00\xff" * 4000, "d.bin": b"1"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        got = {r.path.rsplit("/", 1)[1]: r.sha256 for r in documents.checksums(spark, str(tmp_path), "*.bin").collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got == {name: hashlib.sha256(text).hexdigest() for name, text in texts.items()}
+
+
 def test_small_sources(spark, tmp_path):
     assert sorted(r.frame for r in documents.frame_ranges(spark, "0:10:4,8,20").collect()) == [0, 4, 8, 20]
     assert sorted(r.frame for r in documents.even_frames(spark, 9, 4).collect()) == [0, 3, 6, 9]

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -87,16 +88,37 @@ def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime").orderBy("path")
 
 
+#: Files of more bytes are not taken as one value.
+LARGE = 1 << 27
+
+
 def checksums(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """SHA-256 of each file below a path."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    """SHA-256 of each file below a path. Tasks take files of up to ``LARGE`` bytes; larger ones, of any size, are read by the driver as streams, four at a time."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    most = min(LARGE, int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(LARGE))))
+    small = files.where(F.col("length") <= most).select("path", F.sha2("content", 256).alias("sha256"))  # the reader takes this filter: contents of others are not read
+    large = [r.path for r in files.where(F.col("length") > most).select("path").collect()]
+    if not large:
+        return small
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def digest(name: str) -> tuple[str, str]:
+        at = jvm.org.apache.hadoop.fs.Path(name)
+        stream = at.getFileSystem(conf).open(at)
+        try:
+            return name, jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(4) as pool:
+        return small.unionByName(spark.createDataFrame(list(pool.map(digest, large)), "path string, sha256 string"))
 
 
 def entries(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """``name, n_files, sha256`` of a folder's files and folders whose name fits, sorted.
 
     A folder (as a table of several part files is) counts as one: its sum is taken over lines of name and sum of all files in it, in order. Folders
-    without files, and files that Spark's readers pass over (``_`` or ``.`` first), are left out.
+    without files, and files that Spark's readers pass over (``_`` or ``.`` first, or empty), are left out.
     """
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
